@@ -6,15 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.llm.exact_dedup import exact_dedup
+from cueloom.llm.language_id import held_out, identify, learn
+from cueloom.llm.packing import pack
 from cueloom.sources.tables import table
 
 
+def vocabulary() -> tuple[str, str]:
+    """The public byte-level vocabulary, as tokenizer file and as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = learn(docs.where(~held_out(F.col("doc_id"))))
+    return identify(docs, learned).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op10_language_id": op10_language_id,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
