@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cueloom.llm.exact_dedup import exact_dedup
 from cueloom.llm.language_id import held_out, identify, learn
 from cueloom.llm.packing import pack
+from cueloom.llm.pii import find, trained
 from cueloom.sources.tables import table
 
 
@@ -22,6 +23,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, trained(docs))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = learn(docs.where(~held_out(F.col("doc_id"))))
@@ -35,6 +41,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_pii": op5_pii,
     "op10_language_id": op10_language_id,
     "op8_exact_dedup": op8_exact_dedup,
 }
