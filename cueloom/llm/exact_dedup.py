@@ -7,7 +7,7 @@ one run is left; merging keeps the smallest (and largest) identifier of each dig
 whatever the number of runs, and ids travel pre-aggregated: a group of copies sends one entry per map task.
 
 Digests that the index holds more than once are hits. Hits are verified by bytes: a bitmap filter of bounded size
-(``FILTER_BITS`` bits, broadcast) lets the scan send on only documents that can be hits, and the smallest and the
+(see ``filters``) lets the scan send on only documents that can be hits, and the smallest and the
 largest text of each digest are compared. Where they differ the digest stood for several texts, and its documents
 are grouped by the text itself.
 
@@ -23,13 +23,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueloom.llm.filters import maybe_among
 from cueloom.sources.workspace import drop_path, new_path, written
 
-#: Bits of the hit filter: 1024 bitmaps of 4 KiB, so 4 MiB are broadcast at most, however many hits there are. With
-#: more hits than bits the filter lets more documents through; the result stays the same.
-FILTER_BITS = 1 << 25
-BITMAP_BITS = 32768
-
 
 def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -84,20 +80,6 @@ class DigestIndex:
         return self.entries().where("n > 1")
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS)) + 1
-
-
-def _maybe(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose digest may be among ``hits``, by a bitmap filter of at most FILTER_BITS bits."""
-    slot = _slot(F.col("digest"))
-    bitmaps = hits.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
-    position = F.pmod(slot - 1, F.lit(BITMAP_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    tested = docs.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "_bucket")
-    return tested.where(F.getbit(byte, F.pmod(position, F.lit(8)))==1).select(*docs.columns)
-
-
 def exact_groups(docs: DataFrame, digest=text_digest, memtable_rows: int = 100_000, fanout: int = 8) -> DataFrame:
     """Each row's group of equal texts: doc_id, digest, first_id, last_id, group_size.
 
@@ -113,7 +95,7 @@ def exact_groups(docs: DataFrame, digest=text_digest, memtable_rows: int = 100_0
     index.compact()
     hits = index.hits()
 
-    compared = _maybe(digested, hits).groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
+    compared = maybe_among(digested, "digest", hits.select("digest")).groupBy("digest").agg((F.min("text") == F.max("text")).alias("same"))
     hits = written(hits.join(compared, "digest"), "verified")
     equal = hits.where("same").select("digest", "first_id", "last_id", F.col("n").alias("group_size"))
     alone = (F.col("doc_id"), F.col("doc_id"), F.lit(1).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm.exact_dedup import exact_dedup
 from cueloom.llm.language_id import held_out, identify, learn
+from cueloom.llm.minhash import near_duplicates
 from cueloom.llm.packing import pack
 from cueloom.llm.pii import find, trained
 from cueloom.sources.tables import table
@@ -19,6 +20,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -40,6 +45,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_pii": op5_pii,
     "op10_language_id": op10_language_id,
