@@ -9,6 +9,7 @@ from cueloom.llm.exact_dedup import exact_dedup
 from cueloom.llm.language_id import held_out, identify, learn
 from cueloom.llm.minhash import near_duplicates
 from cueloom.llm.packing import pack
+from cueloom.llm.pieces import digests
 from cueloom.llm.pii import find, trained
 from cueloom.llm.topk import top_inner_products
 from cueloom.sources.tables import table
@@ -34,6 +35,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, trained(docs))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -53,6 +60,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_pii": op5_pii,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_topk": op7_exact_topk,
     "op10_language_id": op10_language_id,
     "op8_exact_dedup": op8_exact_dedup,
