@@ -17,12 +17,17 @@ def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
 
 
-def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose ``key`` is, or by chance looks as if it were, in the one column of ``keys``."""
+def flagged(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a column ``flag``: true where ``key`` is, or looks as if it were, in the one column of ``keys``."""
     slot = _slot(keys[keys.columns[0]])
     bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
     slot = _slot(F.col(key))
     position = F.pmod(slot - 1, F.lit(BITMAP_BITS)).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    tested = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "_bucket")
-    return tested.where(F.getbit(byte, F.pmod(position, F.lit(8))) == 1).select(*rows.columns)
+    tested = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "_bucket", "left")
+    return tested.select(*rows.columns, F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8))) == 1, F.lit(False)).alias(flag))
+
+
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows that ``flagged`` marks."""
+    return flagged(rows, key, keys, "_maybe").where("_maybe").drop("_maybe")
