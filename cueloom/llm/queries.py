@@ -13,6 +13,8 @@ from cueloom.llm.packing import pack
 from cueloom.llm.pieces import digests
 from cueloom.llm.pii import find, trained
 from cueloom.llm.preferences import conversation_pairs, format_pairs
+from cueloom.llm.secrets import scan
+from cueloom.llm.secrets import trained as trained_forest
 from cueloom.llm.topk import top_inner_products
 from cueloom.sources.tables import table
 
@@ -41,6 +43,11 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("pair_id", "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"), "paired", "comparable")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, trained_forest(docs))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return find(docs, trained(docs))
@@ -84,6 +91,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_preference_format": op3_preference_format,
+    "op4_secret_scan": op4_secret_scan,
     "op5_pii": op5_pii,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_topk": op7_exact_topk,
