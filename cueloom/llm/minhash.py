@@ -116,11 +116,6 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return reduce(np.minimum, parts)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _plan_ways() -> list[list[tuple[int, int, int]]]:
     """For each level its (way, way it comes from, hash function): one or two ways on, 1.25 on average."""
     rng = np.random.default_rng(SEED + 1)
@@ -150,6 +145,12 @@ def _arrow(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, to bound what is held for one."""
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, len(batch), rows))
+
+
 def _binary(rows: np.ndarray) -> pa.Array:
     """One binary value for each row of a two-dimensional array of bytes."""
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
@@ -166,7 +167,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """Set size, 128-bit set key and minwise values of each document that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             n, keys, mins = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), words)
@@ -324,23 +325,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     """The pairs (a, b) whose full sets are similar enough."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(text.as_py(), words).tobytes() for text in batch.column("text")]
-            yield _arrow({"doc": batch.column("doc"), "shingles": pa.array(found, pa.binary())})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
-            yes = [similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent) for a, b in both]
-            yield batch.filter(pa.array(yes, pa.bool_())).select(["a", "b"])
+        for batch in _sliced(batches):
+            found = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column("text")]
+            yield _arrow({"doc": batch.column("doc"), "shingles": pa.array(found, pa.list_(pa.int64()))})
 
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
-    wanted = maybe_among(docs, "doc", ids).mapInArrow(sets, "doc long, shingles binary")
+    wanted = maybe_among(docs, "doc", ids).mapInArrow(sets, "doc long, shingles array<long>")
     shingles = written(wanted, "shingles")
     first = pairs.join(shingles.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a")
     second = first.join(shingles.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return written(second.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "confirmed")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    return written(second.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
