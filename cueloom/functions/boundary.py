@@ -162,7 +162,9 @@ def boundaries(scripts: DataFrame, text: str = "text") -> DataFrame:
     chars = scripts.select("script_id", F.posexplode(F.split(F.concat(F.col(text), F.lit(" ")), "")).alias("at", "right")).where("right <> ''")
     # The added blank stands for the offset after the last character.
     order = Window.partitionBy("script_id").orderBy("at")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # "The first from here on" is the last so far in reverse: a frame that only grows, where one that shrinks is quadratic.
+    after = Window.partitionBy("script_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
     seen = F.when(~F.col("right").rlike(ws), F.col("right"))
     depth = F.when(among(F.col("right"), C.OPEN_QUOTES), 1).when(among(F.col("right"), C.CLOSE_QUOTES), -1).otherwise(0)
     sums = chars.select(
@@ -171,7 +173,7 @@ def boundaries(scripts: DataFrame, text: str = "text") -> DataFrame:
         "right",
         F.coalesce(F.lag("right").over(order), F.lit("")).alias("left"),
         F.coalesce(F.last(seen, ignorenulls=True).over(before), F.lit("")).alias("prev"),
-        F.coalesce(F.first(seen, ignorenulls=True).over(after), F.lit("")).alias("nxt"),
+        F.coalesce(F.last(seen, ignorenulls=True).over(after), F.lit("")).alias("nxt"),
         F.coalesce(F.sum(seen.isNotNull().cast("int")).over(before), F.lit(0)).alias("visible"),
         F.coalesce(F.sum(depth).over(before), F.lit(0)).alias("sum"),
         F.lead("at").over(order).isNull().alias("end"),

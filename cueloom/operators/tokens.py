@@ -98,6 +98,7 @@ def _mapped(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
     """
     size = F.length("display_text")
     own = scripts.select(*[c for c in scripts.columns if c != "display_text"], size.alias("text_length"), visible_len(F.col("display_text")).alias("vis_total"))
+    own = own.repartition("script_id")  # an exchange, so that a script's expressions are not evaluated again for each token
     offsets = visible_offsets(scripts)
     t = tokens.where("start_char IS NOT NULL AND end_char IS NOT NULL").join(own, "script_id")
     t = t.withColumn("_a", F.least("start_char", "text_length")).withColumn("_b", F.least("end_char", "text_length"))
