@@ -9,9 +9,10 @@ each), and pairs that can be similar enough are confirmed on their full sets.
 
 Only components are asked for, so that a cohesive group does not need all its pairs. First each document of a node is
 paired with the first document of the node that it resembles (in larger nodes, with the first document of the node),
-and confirmed links give provisional components. Then all pairs of a node that resemble each other and whose
-provisional components differ are confirmed too. No pair that met in a small node and resembled is left out: it
-is either confirmed, refuted, or already connected. Larger nodes of one provisional component need no more branching.
+and confirmed links give provisional components. Then documents that resemble one of another provisional component in
+their node bring their sets to the node, all of these pairs are compared, and those that join components are confirmed. No pair that
+met in a small node and resembled is left out: it is confirmed, refuted, or already connected; and a node sends on fewer
+rows than it holds, however many of its pairs are alike. Larger nodes of one provisional component need no more branching.
 What is still large and mixed after ``DEPTH`` levels is compared exhaustively in blocks of SMALL documents.
 
 A pair of similarity 0.8 stays together in one tree with probability 0.80 at depth 1, 0.73 at depth 2, 0.64 at 3;
@@ -285,17 +286,71 @@ def _first_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long, node long, n long, sketch binary")
 
 
-def _other_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All resembling pairs of each node of ``rows`` (node, doc, n, sketch, label) with different labels."""
+def _involved(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``rows`` (node, doc, n, sketch, label) that resemble a row of their node with another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
             i, j = _resembling(batch, percent, batch.column("label").to_numpy())
-            doc = batch.column("doc").to_numpy()
-            yield _arrow({"a": pa.array(doc[i]), "b": pa.array(doc[j])})
+            yield batch.take(pa.array(np.union1d(i, j).astype(np.int64))).select(["node", "doc", "n", "label"])
 
     ordered = rows.repartition("node").sortWithinPartitions("node", "doc").select("node", "doc", "n", "sketch", "label")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "node long, doc long, n long, label long")
+
+
+def _node_links(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join what is apart: a spanning forest over the labels of one node."""
+    elements, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    both = np.zeros((len(sets), len(sets)))
+    for at in range(0, len(elements), 16384):
+        part = (where >= at) & (where < at + 16384)
+        held = np.zeros((len(sets), min(16384, len(elements) - at)), np.float32)
+        held[owner[part], where[part] - at] = 1
+        both += held @ held.T
+    alike = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (label[:, None] != label[None, :])
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(alike)), strict=True):
+        one, two = top(int(label[i])), top(int(label[j]))
+        if one != two:
+            root[max(one, two)] = min(one, two)
+            out.append((int(i), int(j)))
+    return out
+
+
+def _joining_pairs(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of ``rows`` (node, doc, n, label) whose sets, compared in their node, are similar and join components.
+
+    Sets travel as the upper halves of their hashes, which can only make two of them look more alike; the pairs are
+    confirmed on full sets afterwards.
+    """
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            found = [(shingle_set(text.as_py(), words) >> _U64(32)).astype(np.uint32).tobytes() for text in batch.column("text")]
+            yield _arrow({"doc": batch.column("doc"), "half": pa.array(found, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_node(batches):
+            node, doc, n, label = (batch.column(c).to_numpy() for c in ("node", "doc", "n", "label"))
+            edges = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1, len(node)]
+            pairs: list[tuple[int, int]] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                sets = [np.frombuffer(s.as_py(), np.uint32) for s in batch.column("half").slice(a, b - a)]
+                pairs += [(a + i, a + j) for i, j in _node_links(sets, n[a:b], label[a:b], percent)]
+            yield _arrow({"a": pa.array(doc[[i for i, _ in pairs]], pa.int64()), "b": pa.array(doc[[j for _, j in pairs]], pa.int64())})
+
+    rows = written(rows, "involved")
+    sets = maybe_among(docs, "doc", rows.select("doc").distinct()).mapInArrow(halves, "doc long, half binary")
+    joined = rows.join(sets, "doc").select("node", "doc", "n", "label", "half")
+    return joined.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long")
 
 
 def _leader_pairs(large: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
@@ -360,18 +415,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     columns = ["node", "doc", "n", "sketch", "label"]
     open_rows = met.where("node IS NOT NULL").select("node", F.col("a").alias("doc"), "n", "sketch")
-    more = [_other_pairs(labelled(open_rows).select(columns), percent)]
+    more = [_involved(labelled(open_rows).select(columns), percent)]
     for level in range(1, DEPTH):
         large = written(labelled(large.drop("large", "leader")), "mixed")
         if large.isEmpty():
             break
         above = large.select("node", "way", "doc").join(reps.select("doc", "n", "mins"), "doc")
         small, large = _routed(_children(above, level), "nodes")
-        more.append(_other_pairs(labelled(small).select(columns), percent))
+        more.append(_involved(labelled(small).select(columns), percent))
     else:
-        more.append(_other_pairs(_blocks(labelled(large)).select(columns), percent))
-    late = reduce(DataFrame.unionByName, more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    late = written(late.join(links, ["a", "b"], "left_anti"), "late")
+        more.append(_involved(_blocks(labelled(large)).select(columns), percent))
+    late = written(_joining_pairs(reduce(DataFrame.unionByName, more), plain, words, percent).distinct(), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(confirmed(late, plain, words, percent)))
 
