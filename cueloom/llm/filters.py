@@ -6,6 +6,8 @@ pass with the share of set bits. 1024 bitmaps of 4 KiB (4 MiB) are broadcast at
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,30 @@ def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as keep it apart from the ``taken`` ones."""
+    known, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def flagged(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
     """``rows`` with a column ``flag``: true where ``key`` is, or looks as if it were, in the one column of ``keys``."""
+    bucket, bits = free_names([*rows.columns, flag], "bucket", "bits")
     slot = _slot(keys[keys.columns[0]])
-    bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
-    slot = _slot(F.col(key))
+    bitmaps = keys.groupBy(F.bitmap_bucket_number(slot).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bits))
+    slot = _slot(F.col(f"`{key}`"))
     position = F.pmod(slot - 1, F.lit(BITMAP_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    tested = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "_bucket", "left")
-    return tested.select(*rows.columns, F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8))) == 1, F.lit(False)).alias(flag))
+    byte = F.conv(F.hex(F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    tested = rows.withColumn(bucket, F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), bucket, "left")
+    return tested.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8))) == 1, F.lit(False)).alias(flag))
 
 
 def maybe_among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows that ``flagged`` marks."""
-    return flagged(rows, key, keys, "_maybe").where("_maybe").drop("_maybe")
+    (flag,) = free_names(rows.columns, "maybe")
+    return flagged(rows, key, keys, flag).where(F.col(flag)).drop(flag)

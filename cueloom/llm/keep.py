@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.filters import flagged
+from cueloom.llm.filters import flagged, free_names
 
 
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
@@ -14,10 +14,12 @@ def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None)
     Rows that a filter of bounded size shows to be in neither pass straight on; only the others are joined. Rows with a
     null doc_id stay.
     """
-    gone = gone.toDF("_id").where("_id IS NOT NULL").distinct()
-    ids = gone if repeated is None else gone.unionByName(repeated.toDF("_id").where("_id IS NOT NULL"))
-    marked = flagged(docs.withColumn("_doc", F.col("doc_id").cast("long")), "_doc", ids, "_flag")
-    perhaps = marked.where("_flag").join(gone, F.expr("_doc = _id"), "left_anti").select(*docs.columns)
+    doc, key, flag = free_names(docs.columns, "doc", "id", "flag")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    gone = gone.toDF(key).where(F.col(key).isNotNull()).distinct()
+    ids = gone if repeated is None else gone.unionByName(repeated.toDF(key).where(F.col(key).isNotNull()))
+    marked = flagged(docs.withColumn(doc, F.col("doc_id").cast("long")), doc, ids, flag)
+    perhaps = marked.where(F.col(flag)).join(gone, F.col(doc) == F.col(key), "left_anti").select(own)
     if repeated is not None:
         perhaps = perhaps.dropDuplicates(["doc_id", "text"])
-    return marked.where("NOT _flag").select(*docs.columns).unionByName(perhaps)
+    return marked.where(~F.col(flag)).select(own).unionByName(perhaps)

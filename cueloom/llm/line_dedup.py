@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from cueloom.llm.filters import flagged, maybe_among
+from cueloom.llm.filters import flagged, free_names, maybe_among
 from cueloom.sources.workspace import written
 
 WINDOW = 2
@@ -99,18 +100,24 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return written(removed.distinct().groupBy("doc", "key").agg(F.sort_array(F.collect_list("place")).alias("places")), "line-removals")
 
 
+COUNTS = ("n_lines", "n_removed_chunks", "n_removed_lines")
+
+
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated chunks taken out of ``text``, and n_lines, n_removed_chunks, n_removed_lines."""
+    """``docs`` with the repeated chunks taken out of ``text``, and behind its columns those of COUNTS.
+
+    Where ``docs`` has a column of such a name, the count's name gets an underscore in front.
+    """
     lost = repeated_chunks(docs)
     columns, schema = docs.columns, docs.schema
-    counted = ["_n_lines", "_n_chunks", "_n_removed"]
+    doc, key, flag, gone, lost_doc, lost_key, *counted = free_names(columns, "doc", "key", "touched", "places", "lost_doc", "lost_key", *COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), SLICE):
                 batch = whole.slice(at, SLICE)
                 texts, counts = [], np.zeros((3, len(batch)), np.int64)
-                for r, (text, places) in enumerate(zip(batch.column("text"), batch.column("_places"), strict=True)):
+                for r, (text, places) in enumerate(zip(batch.column("text"), batch.column(gone), strict=True)):
                     text, places = text.as_py(), set(places.as_py() or ())
                     lines = _lines(text)
                     counts[0, r], counts[1, r] = len(lines), len(places)
@@ -122,14 +129,10 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
                 put = pa.array(texts, batch.schema.field("text").type)
                 yield pa.RecordBatch.from_arrays([*(put if c == "text" else batch.column(c) for c in columns), *map(pa.array, counts)], names=[*columns, *counted])
 
-    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    marked = flagged(keyed, "_doc", lost.select("doc"), "_touched")
-    none = F.lit(None).cast("array<int>").alias("_places")
-    touched = marked.where("_touched").join(
-        lost.select(F.col("doc").alias("_lost_doc"), F.col("key").alias("_lost_key"), F.col("places").alias("_places")),
-        F.expr("_doc = _lost_doc AND _key = _lost_key"),
-        "left",
-    )
-    both = marked.where("NOT _touched").select(*columns, none).unionByName(touched.select(*columns, "_places"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return both.mapInArrow(run, fields + "".join(f", {c} long" for c in counted))
+    own = [F.col(f"`{c}`") for c in columns]
+    keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    marked = flagged(keyed, doc, lost.select("doc"), flag)
+    removals = lost.select(F.col("doc").alias(lost_doc), F.col("key").alias(lost_key), F.col("places").alias(gone))
+    touched = marked.where(F.col(flag)).join(removals, (F.col(doc) == F.col(lost_doc)) & (F.col(key) == F.col(lost_key)), "left")
+    both = marked.where(~F.col(flag)).select(*own, F.lit(None).cast("array<int>").alias(gone)).unionByName(touched.select(*own, gone))
+    return both.mapInArrow(run, StructType([*schema.fields, *(StructField(c, LongType()) for c in counted)]))

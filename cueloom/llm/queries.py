@@ -68,9 +68,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return cleaned.select(
         "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_chunks").alias("n_removed_chunks"),
-        F.col("_n_removed").alias("n_removed_lines"),
+        "n_lines",
+        "n_removed_chunks",
+        "n_removed_lines",
         F.length(text).cast("long").alias("n_chars_kept"),
         F.sha2(text, 256).alias("text_sha256"),
     )
