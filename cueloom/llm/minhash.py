@@ -13,7 +13,7 @@ and confirmed links give provisional components. Then documents that resemble on
 their node bring their sets to the node, all of these pairs are compared, and those that join components are confirmed. No pair that
 met in a small node and resembled is left out: it is confirmed, refuted, or already connected; and a node sends on fewer
 rows than it holds, however many of its pairs are alike. Larger nodes of one provisional component need no more branching.
-What is still large and mixed after ``DEPTH`` levels is compared exhaustively in blocks of SMALL documents.
+What is still large and mixed after ``DEPTH`` levels is compared exhaustively in blocks of BLOCK documents.
 
 A pair of similarity 0.8 stays together in one tree with probability 0.80 at depth 1, 0.73 at depth 2, 0.64 at 3;
 with 12 trees it is missed with probability below 1e-5 at depth 3, and its sketch with probability below 1e-6.
@@ -40,6 +40,7 @@ from cueloom.sources.workspace import written
 TREES = 12
 DEPTH = 6
 SMALL = 64
+BLOCK = 128
 MINS = 64
 #: Equal tokens of 64 that a pair's sketches need: 52 are expected at similarity 0.8, with a deviation of 3.1.
 LIKE = 36
@@ -439,8 +440,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Each node of ``rows`` as nodes of two blocks of its documents, for every two blocks."""
-    sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / F.lit(SMALL)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("blocks")).cast("int")
-    spread = rows.join(sizes, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    """The rows of nodes that stayed large, as nodes of two blocks each.
+
+    Rows of a node's commonest label need no comparison with each other: their blocks meet the blocks of the other rows,
+    and those meet one another. With few others, each row is sent about once.
+    """
+    labels = rows.groupBy("node", "label").agg(F.count("*").alias("size"))
+    sizes = labels.groupBy("node").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("all"))
+    sizes = sizes.select("node", "main", F.ceil(F.col("mains") / BLOCK).cast("int").alias("d"), F.ceil((F.col("all") - F.col("mains")) / BLOCK).cast("int").alias("o"))
+    is_main = F.col("label") == F.col("main")
+    own = F.pmod(F.xxhash64("doc", F.lit(1)), F.when(is_main, F.col("d")).otherwise(F.col("o"))).cast("int")
+    # Blocks of the others are numbered from 0, those of the commonest label from o on.
+    meets = F.when(is_main, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("o") + F.col("d") - 1))
+    spread = rows.join(sizes, "node").withColumn("own", own + F.when(is_main, F.col("o")).otherwise(0)).withColumn("other", F.explode(meets))
+    return spread.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).drop("main", "d", "o", "own", "other")
