@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -12,9 +11,14 @@ from pyspark.sql.types import StringType
 from cueloom.functions.charsets import MARKDOWN_NOISE, NATURAL_ENDS, SENTENCE_ENDS, WS, ZERO_WIDTH, one_of
 
 
-@F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _composed(text: Column) -> Column:
+    import pandas as pd  # only where text has to be composed
+
+    def compose(values):
+        return values.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    compose.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(compose, StringType())(text)
 
 
 def nfc(text: Column, compose: bool = True) -> Column:

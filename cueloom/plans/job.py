@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,9 @@ from cueloom.plans.script import Cue, Script, Token
 from cueloom.plans.splitting import finalize, split
 from cueloom.plans.tail import repair_tail
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 CUE = "script_id long, language string, profile string, idx int, start double, end double, text string, start_char int, end_char int, warnings array<string>"
 RESULT = f"script_id long, language string, profile string, display_text string, audio_duration double, error_class string, error string, cues array<struct<{'idx: int, start: double, end: double, text: string, start_char: int, end_char: int, warnings: array<string>'}>>, timeline string, tail_repair string, timeline_status string, timeline_score int"
 
@@ -52,6 +55,8 @@ def align_scripts(scripts: DataFrame, aligner: Aligner, keep_punctuation: bool =
     own = scripts.select("script_id", "language", "profile", "script_text", *(["audio"] if "audio" in scripts.columns else []))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         for batch in batches:
             yield pd.DataFrame([_one(row, aligner, keep_punctuation) for row in batch.to_dict("records")], columns=[f.split()[0] for f in _fields()])
 
@@ -86,6 +91,8 @@ def split_table(scripts: DataFrame, tokens: DataFrame) -> DataFrame:
     joined = scripts.select("script_id", "language", "profile", "display_text").join(gathered, "script_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd
+
         names = [f.split()[0] for f in CUE.split(", ")]
         for batch in batches:
             rows = []
