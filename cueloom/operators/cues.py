@@ -201,6 +201,32 @@ def micro_candidates(cues: DataFrame) -> DataFrame:
     )
 
 
+def merged_micro_candidates(cues: DataFrame, scripts: DataFrame, keep: int = 16) -> DataFrame:
+    """Candidate windows grown to sentences and joined over at most 40 characters, the most telling first."""
+    from cueloom.functions.text import next_sentence_boundary, previous_sentence_boundary, trim_range
+
+    spans = cues.select("script_id", "idx", "start", "end", "start_char", "end_char")
+    found = micro_candidates(cues)
+    found = found.join(spans.select("script_id", F.col("idx").alias("first_idx"), "start_char", F.col("start").alias("first_start")), ["script_id", "first_idx"])
+    found = found.join(spans.select("script_id", F.col("idx").alias("last_idx"), "end_char", F.col("end").alias("last_end")), ["script_id", "last_idx"])
+    text = F.col("display_text")
+    grown = found.join(scripts.select("script_id", "display_text"), "script_id")
+    grown = grown.withColumn("start_char", previous_sentence_boundary(text, F.col("start_char"), F.lit(90))).withColumn("end_char", next_sentence_boundary(text, F.col("end_char"), F.lit(120)))
+    a, b = trim_range(text, F.col("start_char"), F.col("end_char"))
+    grown = grown.withColumn("a", a).withColumn("b", b).where("b > a").withColumn("start_char", F.col("a")).withColumn("end_char", F.col("b"))
+    merged = merge(
+        grown, "start_char", "end_char", 40,
+        [
+            F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"),
+            F.max("score").alias("score"), union_of("reasons").alias("reasons"), highest("severity").alias("severity"),
+            F.min(F.greatest(F.lit(0.0), "first_start")).alias("audio_start"), F.max(F.greatest("last_end", F.col("first_start") + 0.5)).alias("audio_end"),
+        ],
+        ["end_char", "idx"],
+    ).drop("group_index")
+    order = Window.partitionBy("script_id").orderBy((F.col("severity") != "high").cast("int"), F.desc("score"), "start_char")
+    return merged.withColumn("index", F.row_number().over(order)).where(F.col("index") <= keep)
+
+
 def quality(cues: DataFrame, scripts: DataFrame) -> DataFrame:
     """The quality report of each script, unrounded, with score and warnings.
 

@@ -47,9 +47,11 @@ def repaired(script: Script, tokens: list[Token], duration: float | None, p: Pro
     return cues, job.tokens, job.summary, tail
 
 
-def align_scripts(scripts: DataFrame, aligner: Aligner, keep_punctuation: bool = True) -> DataFrame:
+def align_scripts(scripts: DataFrame, aligner: Aligner, keep_punctuation: bool = True, limits: dict | None = None) -> DataFrame:
     """One row per script (script_id, language, profile, script_text[, audio]): cues, timeline and error.
 
+    ``limits`` overrides min_duration, max_duration and line_chars of the profile; ``keep_punctuation`` only changes the text that is aligned.
+
     A script that fails gives a row with its error and no cues; it never fails the batch.
     """
     own = scripts.select("script_id", "language", "profile", "script_text", *(["audio"] if "audio" in scripts.columns else []))
@@ -58,7 +60,7 @@ def align_scripts(scripts: DataFrame, aligner: Aligner, keep_punctuation: bool =
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame([_one(row, aligner, keep_punctuation) for row in batch.to_dict("records")], columns=[f.split()[0] for f in _fields()])
+            yield pd.DataFrame([_one(row, aligner, keep_punctuation, limits or {}) for row in batch.to_dict("records")], columns=[f.split()[0] for f in _fields()])
 
     return own.mapInPandas(run, RESULT)
 
@@ -67,10 +69,10 @@ def _fields() -> list[str]:
     return ["script_id", "language", "profile", "display_text", "audio_duration", "error_class", "error", "cues", "timeline", "tail_repair", "timeline_status", "timeline_score"]
 
 
-def _one(row: dict, aligner: Aligner, keep_punctuation: bool) -> dict:
+def _one(row: dict, aligner: Aligner, keep_punctuation: bool, limits: dict) -> dict:
     out = {k: None for k in _fields()} | {k: row[k] for k in ("script_id", "language", "profile")} | {"cues": []}
     try:
-        p = resolve(row["profile"], row["language"])
+        p = resolve(row["profile"], row["language"], **limits)
         text = clean(row["script_text"], keep_punctuation)
         if text is None:
             raise InputError("the script is blank")

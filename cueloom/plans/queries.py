@@ -551,6 +551,12 @@ def micro_drift_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_ops.micro_candidates(_cues(spark, sf_dir)).drop("score").withColumn("reasons", F.array_join("reasons", ","))
 
 
+@query()
+def merged_micro_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = _cues(spark, sf_dir)
+    return cue_ops.merged_micro_candidates(cues, _texts(cues)).withColumn("reasons", F.array_join("reasons", ","))
+
+
 _REPORT = f"""{_RISK} q AS (SELECT script_id, count(*) AS subtitle_count, avg(duration) AS avg_subtitle_duration, min(duration) AS min_subtitle_duration, max(duration) AS max_subtitle_duration, avg(cps) AS avg_chars_per_second, max(cps) AS max_chars_per_second,
         list_sort(list(cps))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95_chars_per_second, max(chars) AS max_chars_per_cue, count(*) FILTER (gap_after > 0.8::DOUBLE) AS large_gap_count, coalesce(max(gap_after), 0) AS max_gap_seconds,
         count(*) FILTER (NOT (chars = 0 OR regexp_matches(regexp_extract(text, '(?s)([^{WS[1:-1]}]){WS}*$', 1), '^{NATURAL}$'))) AS weak_boundary_count, count(*) FILTER (gap_after < 0) AS overlap_count, count(*) FILTER (duration < 1.2::DOUBLE) AS too_short_count,
@@ -639,6 +645,69 @@ def subtitle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cue_ops.quality(cue_ops.with_profile(split_table(scripts, corpora.word_tokens(scripts)), profiles(spark)), texts)
 
 
+def _kernel(cues: DataFrame, scripts: DataFrame, work) -> DataFrame:
+    """CUE rows after ``work(cues, script, profile)`` on each script's cues."""
+    from cueloom.functions.profiles import resolve
+    from cueloom.plans.job import CUE
+    from cueloom.plans.script import Cue, Script
+
+    one = F.struct("idx", "start", "end", "text", "start_char", "end_char")
+    gathered = cues.groupBy("script_id", "language", "profile").agg(F.array_sort(F.collect_list(one)).alias("cues")).join(scripts.select("script_id", "display_text"), "script_id")
+    names = [f.split()[0] for f in CUE.split(", ")]
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False):
+                own = [Cue(c["start"], c["end"], c["text"], c["start_char"], c["end_char"]) for c in row.cues]
+                done = work(own, Script(row.display_text, row.language), resolve(row.profile, row.language))
+                rows += [(row.script_id, row.language, row.profile, i, c.start, c.end, c.text, c.a, c.b, c.warnings) for i, c in enumerate(done, 1)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return gathered.mapInPandas(run, CUE)
+
+
+@query()
+def smoothed_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clamped and smoothed times of the conversations' cues."""
+    from cueloom.plans.splitting import clamp
+
+    cues = corpora.conversation_cues(spark, sf_dir)
+    return _kernel(cues, _texts(cues), lambda own, script, p: clamp(own, p)).drop("warnings")
+
+
+@query()
+def repaired_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' cues with risky ends moved and short ones merged."""
+    from cueloom.plans.splitting import annotate, merge_short, repair_ends
+
+    cues = corpora.conversation_cues(spark, sf_dir)
+    return _kernel(cues, _texts(cues), lambda own, script, p: annotate(merge_short(repair_ends(own, script, p), script, p), p))
+
+
+@query()
+def rebuilt_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' cues with everything after a timeline break rebuilt by characters."""
+    from cueloom.plans.tail import repair_tail
+
+    cues = corpora.conversation_cues(spark, sf_dir)
+    return _kernel(cues, _texts(cues), lambda own, script, p: repair_tail(own, script, [], None, p)[0]).drop("warnings")
+
+
+@query()
+def drifting_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole jobs over the English documents with an aligner whose timeline jumps, and its repairs."""
+    from cueloom.plans.aligner import SteadyAligner
+    from cueloom.plans.job import align_scripts, reports
+
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("script_id"), F.col("lang").alias("language"), F.lit("standard").alias("profile"), F.col("text").alias("script_text"))
+    done = align_scripts(docs, SteadyAligner(step=0.06, drift=9.0, drift_from=0.5))
+    report = reports(done, profiles(spark))
+    return report.select("script_id", "quality_score", "timeline_status", F.get_json_object("timeline", "$.max_anchor_gap_seconds").cast("double").alias("max_anchor_gap_seconds"), F.size("warnings").alias("warnings"))
+
+
 @query()
 def aligned_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole job over all documents with the synthetic aligner; languages without rules give an error row."""

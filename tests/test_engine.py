@@ -238,3 +238,38 @@ def test_flatten_results(spark):
     rows = [(1, [("seg", 0.0, 1.0, []), ("x", 1.0, 2.0, [("a", None, 1.0, 1.5, 0.9), (" ", None, 1.5, 1.6, 0.1), ("", "b", 1.6, 1.7, None), ("late", None, 3.0, 2.0, 0.5)])])]
     got = tok.flatten_result(spark.createDataFrame(rows, schema)).orderBy("ord").collect()
     assert [(r["text"], r["confidence"]) for r in got] == [("seg", None), ("a", 0.9), ("b", None)]
+
+
+def test_streamed_scripts_and_command_line(spark, tmp_path):
+    from cueloom.__main__ import main
+    from cueloom.streaming.scripts import watch
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"script_id": 1, "language": "en", "profile": "standard", "script_text": "One two. Three four five."}\n')
+    watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), SteadyAligner()).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/batch=0/output_vtt").collect()[0]["vtt"].startswith("WEBVTT\n\n00:00")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "one.txt").write_text("﻿Hello there, this is a script.", encoding="utf-8")
+    assert main(["--scripts", f"{tmp_path}/s", "--language", "en", "--out", f"{tmp_path}/cli"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/cli/output_srt").collect()[0]["srt"].endswith("this is a script\n")
+    assert main(["--scripts", "x", "--language", "en", "--min-duration", "9"], spark) == 2
+
+
+def test_requests_and_job_states(spark):
+    from cueloom.operators import jobs
+    from cueloom.sources.audio import banner_seconds, clip_command
+    from cueloom.sources.scripts import chosen_text
+
+    schema = "audio string, profile string, min_duration double, max_duration double, line_chars int, script_text string, language string"
+    good = ("a.mp3", "short", 1.0, 2.0, 18, "x", "ja")
+    rows = [good, (None, *good[1:]), (*good[:1], "odd", *good[2:]), (*good[:2], 0.0, *good[3:]), (*good[:3], 1.0, *good[4:]), (*good[:5], "  ", "ja"), (*good[:6], None)]
+    assert [r["fault"] is None for r in jobs.checked(spark.createDataFrame(rows, schema)).collect()] == [True] + [False] * 6
+    events = spark.createDataFrame([(1, 1, "running", "split", "a", None), (1, 2, None, "write", "b", None), (1, 3, "succeeded", None, None, None)], "job_id long, seq int, status string, stage string, log string, error string")
+    table = spark.createDataFrame([(1, "x/talk.mp3", ["srt", "alignment"]), (2, ".mp3", ["srt"])], "job_id long, audio_name string, kinds array<string>")
+    state = jobs.advanced(table, events)
+    assert {r["job_id"]: (r["status"], r["stage"], r["logs"]) for r in state.collect()} == {1: ("succeeded", "write", ["a", "b"]), 2: ("queued", None, None)}
+    assert [tuple(r) for r in jobs.downloads(state).collect()] == [(1, "srt", "talk.srt")]
+    got = spark.createDataFrame([("Duration: 01:02:03.50, start", None, " ", "p")], "b string, u string, blank string, p string").select(banner_seconds(F.col("b")).alias("s"), chosen_text(F.col("u"), F.col("blank")).alias("n"), chosen_text(F.col("u"), F.col("p")).alias("t"), jobs.file_of(F.lit("vtt")).alias("f")).collect()[0]
+    assert tuple(got) == (3723.5, None, "p", "output.vtt")
+    with pytest.raises(ValueError):
+        clip_command("a", "b", 2.0, 1.0)
