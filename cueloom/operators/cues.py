@@ -45,7 +45,8 @@ def unsafe_ends(cues: DataFrame, scripts: DataFrame) -> DataFrame:
     prev, nxt = previous_visible(text, at), next_visible(text, at)
     left, right = F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.lit(1))
     left = F.when(at > 0, left).otherwise("")
-    joined = cues.join(scripts.select("script_id", "display_text"), "script_id")
+    # An exchange, so that the text's own expressions are not evaluated again for each cue.
+    joined = cues.join(scripts.select("script_id", "display_text").repartition("script_id"), "script_id")
     risk = high_risk(F.col("lang_group"), prev, nxt, left, right)
     return joined.withColumn("unsafe_end", risk & F.lead("idx").over(_w()).isNotNull()).drop("display_text")
 

@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches from now on: what a Python worker and its JVM task hold for one stays at a few megabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm
