@@ -84,13 +84,21 @@ def has_natural_boundary(text: Column) -> Column:
     return (last == "") | last.rlike(f"^{one_of(NATURAL_ENDS)}$")
 
 
+#: Characters beside an offset that are searched before the rest of the text is.
+NEAR = 64
+
+
 def previous_visible(text: Column, at: Column) -> Column:
     """The visible character before offset ``at``; empty if there is none."""
-    return last_char(F.substring(text, F.lit(1), at))
+    near = last_char(F.substring(text, F.greatest(F.lit(1), at - NEAR + 1), F.least(at, F.lit(NEAR))))
+    return F.when((near != "") | (at <= NEAR), near).otherwise(last_char(F.substring(text, F.lit(1), at)))
 
 
 def next_visible(text: Column, at: Column) -> Column:
-    return F.regexp_extract(F.substring(text, at + 1, F.length(text)), rf"(?s)^{WS}*([^{WS[1:-1]}])", 1)
+    """The visible character from offset ``at`` on; empty if there is none."""
+    first = rf"(?s)^{WS}*([^{WS[1:-1]}])"
+    near = F.regexp_extract(F.substring(text, at + 1, F.lit(NEAR)), first, 1)
+    return F.when((near != "") | (at + NEAR >= F.length(text)), near).otherwise(F.regexp_extract(F.substring(text, at + 1, F.length(text)), first, 1))
 
 
 def trim_range(text: Column, start: Column, end: Column) -> tuple[Column, Column]:

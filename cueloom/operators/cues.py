@@ -42,13 +42,19 @@ def measured(cues: DataFrame) -> DataFrame:
 def unsafe_ends(cues: DataFrame, scripts: DataFrame) -> DataFrame:
     """Cues with ``unsafe_end``: a risky boundary at end_char of the script's ``display_text``; false for the last cue."""
     text, at = F.col("display_text"), F.col("end_char")
-    prev, nxt = previous_visible(text, at), next_visible(text, at)
-    left, right = F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.lit(1))
-    left = F.when(at > 0, left).otherwise("")
-    # An exchange, so that the text's own expressions are not evaluated again for each cue.
+    # An exchange, so that the text's own expressions are not evaluated again for each cue; and the characters as columns
+    # below the window, so that they are looked up once and not in each rule.
     joined = cues.join(scripts.select("script_id", "display_text").repartition("script_id"), "script_id")
-    risk = high_risk(F.col("lang_group"), prev, nxt, left, right)
-    return joined.withColumn("unsafe_end", risk & F.lead("idx").over(_w()).isNotNull()).drop("display_text")
+    seen = joined.select(
+        *cues.columns,
+        previous_visible(text, at).alias("_prev"),
+        next_visible(text, at).alias("_nxt"),
+        F.when(at > 0, F.substring(text, at, F.lit(1))).otherwise("").alias("_left"),
+        F.substring(text, at + 1, F.lit(1)).alias("_right"),
+    )
+    more = seen.withColumn("_more", F.lead("idx").over(_w()).isNotNull())
+    risk = high_risk(F.col("lang_group"), F.col("_prev"), F.col("_nxt"), F.col("_left"), F.col("_right"))
+    return more.withColumn("unsafe_end", risk & F.col("_more")).drop("_prev", "_nxt", "_left", "_right", "_more")
 
 
 def warnings(cues: DataFrame) -> DataFrame:
