@@ -23,7 +23,7 @@ class Clean:
 class Aligner(Protocol):
     """What a forced aligner offers. ``realign`` is optional: without it nothing can be repaired locally.
 
-    ``align`` gets the cleaned script, its language and the audio's reference, and returns tokens with times; ``realign``
+    ``align`` gets the cleaned script, its language and where its audio is, and returns tokens with times; ``realign``
     does so for a fragment between two times, with times that count from the first.
     """
 
