@@ -2,7 +2,8 @@
 
 Learning takes a bounded sample: of each language the ``SAMPLE_DOCS`` labelled documents that come first by a hash
 of doc_id, lower-cased and joined to a dictionary of ``DICTIONARY_BYTES``; ``MAX_LANGUAGES`` languages at most (more
-raise an error). Counts of labelled documents are taken over all rows and only settle ties.
+raise an error). Counts of labelled documents are taken over all rows; they settle ties and tell which rows are
+candidates for the sample, so that no task sends on more than its share.
 
 A prediction lower-cases the whole text, cuts it into blocks of ``BLOCK_BYTES`` (so that a long text keeps leaning
 on the dictionary and not on itself), compresses every block with each dictionary and adds up the frames. The
@@ -26,6 +27,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom.llm.sampling import cutoff, place
+
 DICTIONARY_BYTES = 96 << 10
 SAMPLE_DOCS = 128
 MAX_LANGUAGES = 256
@@ -49,19 +52,18 @@ def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
     counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = (
-        usable.select("lang", "doc_id", F.substring("text", 1, DICTIONARY_BYTES).alias("text"))
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= SAMPLE_DOCS)
-        .select("lang", "place", "text")
-        .collect()
-    )
+    if not counts:
+        return []
+    # Candidates are told by a cutoff for each language, so that only about SPARE * SAMPLE_DOCS of each are ranked.
+    limits = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], cutoff(SAMPLE_DOCS, row["count"]))])
+    near = usable.select("lang", place(F.col("doc_id")).alias("place"), F.substring("text", 1, DICTIONARY_BYTES).alias("text")).where(F.col("place") < F.element_at(limits, F.col("lang")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
+    sample = ranked.where(F.col("rank") <= SAMPLE_DOCS).select("lang", F.col("rank").alias("place"), "text").collect()
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in sample:
         texts.setdefault(row["lang"], []).append((row["place"], row["text"].lower()))
     order = [row["lang"] for row in sorted(counts, key=lambda row: (-row["count"], row["lang"]))]
-    return [(lang, "\n".join(text for _, text in sorted(texts[lang])).encode("utf-8", "replace")[:DICTIONARY_BYTES]) for lang in order]
+    return [(lang, "\n".join(text for _, text in sorted(texts[lang])).encode("utf-8", "replace")[:DICTIONARY_BYTES]) for lang in order if lang in texts]
 
 
 class Classifier:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.llm.pii_model import KINDS, decode, symbols, train
+from cueloom.llm.sampling import first_texts
 
 Span = tuple[str, int, int]
 
@@ -163,8 +164,7 @@ def labelled_windows(texts: list[str], n: int = TRAIN_WINDOWS, seed: int = 11) -
 
 def trained(docs: DataFrame) -> dict[str, np.ndarray]:
     """The model, from a bounded sample of ``docs``."""
-    sample = docs.where("text IS NOT NULL").select(F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(TRAIN_DOCS)
-    return train(*labelled_windows([row["text"] for row in sample.collect()]))
+    return train(*labelled_windows(first_texts(docs, TRAIN_DOCS, TRAIN_CHARS)))
 
 
 # --- Search ----------------------------------------------------------------------------------------------------
