@@ -16,11 +16,12 @@ from cueloom.llm.minhash import near_duplicates
 from cueloom.llm.packing import pack
 from cueloom.llm.queries import vocabulary
 from cueloom.sources.tables import table
-from cueloom.sources.workspace import written
+from cueloom.sources.workspace import bounded_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without a letter or with a narrow margin go."""
+    bounded_batches(spark)
     return language_id.keep_identified(docs, language_id.learn(docs.where(~language_id.held_out(F.col("doc_id")))))
 
 

@@ -41,23 +41,28 @@ LEAST_CHUNKS = 64
 
 
 @cache
-def _encoders(vocabulary: str, ranks: str):
-    """The tokenizer of the JSON file, and a faster one of the same vocabulary for texts without special tokens."""
+def _exact(vocabulary: str):
+    """The tokenizer of the JSON file; loaded only where a text holds the special token's string."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
+@cache
+def _fast(ranks: str):
+    """A faster tokenizer of the same vocabulary, for texts without special tokens."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks, "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-    return Tokenizer.from_file(vocabulary), fast
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
 def token_ids(text: str | None, vocabulary: str, ranks: str) -> np.ndarray:
     """The text's ids and the end id, as unsigned little-endian 32-bit numbers."""
-    exact, fast = _encoders(vocabulary, ranks)
     text = text or ""
-    ids = exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+    ids = _exact(vocabulary).encode(text, add_special_tokens=False).ids if SPECIAL in text else _fast(ranks).encode_ordinary(text)
     ids.append(END_ID)
     return np.array(ids, dtype="<u4")
 

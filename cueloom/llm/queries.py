@@ -17,6 +17,12 @@ from cueloom.llm.secrets import scan
 from cueloom.llm.secrets import trained as trained_forest
 from cueloom.llm.topk import top_inner_products
 from cueloom.sources.tables import table
+from cueloom.sources.workspace import bounded_batches
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def vocabulary() -> tuple[str, str]:
@@ -27,11 +33,11 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(documents(spark, sf_dir), words=2)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), *vocabulary())
+    return pack(documents(spark, sf_dir), *vocabulary())
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,19 +50,19 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return scan(docs, trained_forest(docs))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return find(docs, trained(docs))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +70,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     return cleaned.select(
         "doc_id",
@@ -77,13 +83,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     learned = learn(docs.where(~held_out(F.col("doc_id"))))
     return identify(docs, learned).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+    found = exact_dedup(documents(spark, sf_dir), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
