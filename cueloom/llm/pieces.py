@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEPT = 1_000_000
+#: Segments, and pairs of pieces, whose results a worker keeps: about 100 MB each.
+KEPT = 400_000
 KEPT_CHARS = 40
 
 
@@ -94,7 +95,7 @@ class PieceModel:
 
     def _two(self, left: int, right: int) -> bool:
         if (known := self.apart.get((left, right))) is None:
-            if len(self.apart) > 4 * KEPT:
+            if len(self.apart) >= KEPT:
                 self.apart.clear()
             known = self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
             self.apart[left, right] = known
