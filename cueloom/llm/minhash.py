@@ -410,22 +410,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = components(links)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        named = rows.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
-        mixed = named.groupBy("node").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").select("node")
-        return named.join(mixed, "node", "left_semi")
+        return rows.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of nodes that hold several components; small nodes need no such pass, as they are read together anyway."""
+        named = labelled(rows)
+        several = named.groupBy("node").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").select("node")
+        return named.join(several, "node", "left_semi")
 
     columns = ["node", "doc", "n", "sketch", "label"]
     open_rows = met.where("node IS NOT NULL").select("node", F.col("a").alias("doc"), "n", "sketch")
     more = [_involved(labelled(open_rows).select(columns), percent)]
     for level in range(1, DEPTH):
-        large = written(labelled(large.drop("large", "leader")), "mixed")
+        large = written(mixed(large.drop("large", "leader")), "mixed")
         if large.isEmpty():
             break
         above = large.select("node", "way", "doc").join(reps.select("doc", "n", "mins"), "doc")
         small, large = _routed(_children(above, level), "nodes")
         more.append(_involved(labelled(small).select(columns), percent))
     else:
-        more.append(_involved(_blocks(labelled(large)).select(columns), percent))
+        more.append(_involved(_blocks(mixed(large)).select(columns), percent))
     late = written(_joining_pairs(reduce(DataFrame.unionByName, more), plain, words, percent).distinct(), "late")
     if not late.isEmpty():
         labels = components(links.unionByName(confirmed(late, plain, words, percent)))
