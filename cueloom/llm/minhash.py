@@ -3,8 +3,8 @@
 A document's set holds its distinct word shingles. Documents with equal sets form one class, and only the class's
 smallest doc_id goes on. ``TREES`` independent trees branch documents by minwise tokens: the way through a tree is a sequence of
 hash functions, a node holds the documents that have the same minwise tokens along its way, and a node is branched
-on while it holds more than ``SMALL`` documents; on average a node has 1.25 = 1 / 0.8 ways on, so that a pair at the
-threshold keeps meeting. Nodes of at most SMALL documents are compared exhaustively by sketches (64 minwise tokens, 4 bits
+on while it holds more than ``SMALL`` documents. Every node has ``FORK`` ways on, each by a hash function that the way
+to it has not used, so that a pair at the threshold keeps meeting. Nodes of at most SMALL documents are compared exhaustively by sketches (64 minwise tokens, 4 bits
 each), and pairs that can be similar enough are confirmed on their full sets.
 
 Only components are asked for, so that a cohesive group does not need all its pairs. First each document of a node is
@@ -13,10 +13,13 @@ and confirmed links give provisional components. Then documents that resemble on
 their node bring their sets to the node, all of these pairs are compared, and those that join components are confirmed. No pair that
 met in a small node and resembled is left out: it is confirmed, refuted, or already connected; and a node sends on fewer
 rows than it holds, however many of its pairs are alike. Larger nodes of one provisional component need no more branching.
-What is still large and mixed after ``DEPTH`` levels is compared exhaustively in blocks of BLOCK documents.
+Larger nodes with at most BLOCK documents outside their commonest component, and what is still large and mixed after
+``DEPTH`` levels, are compared exhaustively in blocks of BLOCK documents.
 
-A pair of similarity 0.8 stays together in one tree with probability 0.80 at depth 1, 0.73 at depth 2, 0.64 at 3;
-with 12 trees it is missed with probability below 1e-5 at depth 3, and its sketch with probability below 1e-6.
+A pair of similarity 0.8 stays together in one tree with probability 0.80 at depth 1, 0.77 at depth 2, 0.75 at depth 6
+(a depth is a number of tokens that must be equal). The trees share the MINS tokens and are not independent: drawn over
+equal tokens, all 12 miss it with probability 5e-6 at depth 6, where they would with 6e-8 if they were; its sketch is missed
+with probability below 1e-6. Minwise tokens are taken as independent here.
 
 Defined results: text is null or has no word: an empty set, no link, kept. Fewer words than a shingle has: the whole
 sequence is the one shingle. Repeated rows of one doc_id are one document. Ties are settled by doc_id. An empty table gives
@@ -38,6 +41,7 @@ from cueloom.llm.filters import maybe_among
 from cueloom.sources.workspace import written
 
 TREES = 12
+FORK = 2
 DEPTH = 6
 SMALL = 64
 BLOCK = 128
@@ -119,19 +123,21 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def _plan_ways() -> list[list[tuple[int, int, int]]]:
-    """For each level its (way, way it comes from, hash function): one or two ways on, 1.25 on average."""
+    """For each level its (way, way it comes from, hash function): FORK ways on from each, the functions used about equally often."""
     rng = np.random.default_rng(SEED + 1)
     first = rng.permutation(MINS)[:TREES]
     levels = [[(t, -1, int(first[t])) for t in range(TREES)]]
-    used = {t: {int(first[t])} for t in range(TREES)}
+    used = [{int(c)} for c in first]
     for _ in range(1, DEPTH):
-        level, now = [], {}
-        for k, (way, _, _) in enumerate(levels[-1]):
-            for _ in range(1 + (k % 4 == 3)):
-                taken = set().union(*(used[w] for w, _, _ in levels[-1])) if len(level) < MINS // 4 else used[way]
-                free = [c for c in range(MINS) if c not in taken and c not in {x[2] for x in level}] or [c for c in range(MINS) if c not in used[way]]
-                c = int(rng.choice(free))
-                now[len(level)] = used[way] | {c}
+        level, now, uses = [], [], np.zeros(MINS, np.int64)
+        for way, _, _ in levels[-1]:
+            taken = set(used[way])
+            for _ in range(FORK):
+                free = np.array([c for c in range(MINS) if c not in taken])
+                c = int(rng.choice(free[uses[free] == uses[free].min()]))
+                uses[c] += 1
+                taken.add(c)
+                now.append(used[way] | {c})
                 level.append((len(level), way, c))
         levels.append(level)
         used = now
@@ -413,10 +419,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return rows.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """The rows of nodes that hold several components; small nodes need no such pass, as they are read together anyway."""
+        """The rows of nodes that hold several components, with what ``_blocks`` needs; small nodes need no such pass, as they are read together anyway."""
         named = labelled(rows)
-        several = named.groupBy("node").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").select("node")
-        return named.join(several, "node", "left_semi")
+        return named.join(_shares(named).where("o > 0"), "node")
 
     columns = ["node", "doc", "n", "sketch", "label"]
     open_rows = met.where("node IS NOT NULL").select("node", F.col("a").alias("doc"), "n", "sketch")
@@ -425,6 +430,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         large = written(mixed(large.drop("large", "leader")), "mixed")
         if large.isEmpty():
             break
+        more.append(_involved(_blocks(large.where("o = 1")).select(columns), percent))
+        large = large.where("o > 1")
         above = large.select("node", "way", "doc").join(reps.select("doc", "n", "mins"), "doc")
         small, large = _routed(_children(above, level), "nodes")
         more.append(_involved(labelled(small).select(columns), percent))
@@ -443,18 +450,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
+def _shares(rows: DataFrame) -> DataFrame:
+    """Of each node its commonest label, and the numbers of blocks of its rows and of the other rows."""
+    labels = rows.groupBy("node", "label").agg(F.count("*").alias("size"))
+    sizes = labels.groupBy("node").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("all"))
+    return sizes.select("node", "main", F.ceil(F.col("mains") / BLOCK).cast("int").alias("d"), F.ceil((F.col("all") - F.col("mains")) / BLOCK).cast("int").alias("o"))
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
-    """The rows of nodes that stayed large, as nodes of two blocks each.
+    """The rows of larger nodes, which have their ``_shares``, as nodes of two blocks each.
 
     Rows of a node's commonest label need no comparison with each other: their blocks meet the blocks of the other rows,
     and those meet one another. With few others, each row is sent about once.
     """
-    labels = rows.groupBy("node", "label").agg(F.count("*").alias("size"))
-    sizes = labels.groupBy("node").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("all"))
-    sizes = sizes.select("node", "main", F.ceil(F.col("mains") / BLOCK).cast("int").alias("d"), F.ceil((F.col("all") - F.col("mains")) / BLOCK).cast("int").alias("o"))
     is_main = F.col("label") == F.col("main")
     own = F.pmod(F.xxhash64("doc", F.lit(1)), F.when(is_main, F.col("d")).otherwise(F.col("o"))).cast("int")
     # Blocks of the others are numbered from 0, those of the commonest label from o on.
     meets = F.when(is_main, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("o") + F.col("d") - 1))
-    spread = rows.join(sizes, "node").withColumn("own", own + F.when(is_main, F.col("o")).otherwise(0)).withColumn("other", F.explode(meets))
+    spread = rows.withColumn("own", own + F.when(is_main, F.col("o")).otherwise(0)).withColumn("other", F.explode(meets))
     return spread.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).drop("main", "d", "o", "own", "other")

@@ -79,3 +79,30 @@ def test_components_of_chains_hubs_and_loops(spark):
     found = {(r["doc"], r["component"]) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {(i, 100) for i in range(100, 161)} | {(7, 7)} | {(i, 7) for i in range(8, 60)} | {(2, 2), (3, 2)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_at_the_threshold_keep_meeting_at_every_depth():
+    rng = np.random.default_rng(11)
+    equal = np.zeros(2_000_000, np.uint64)
+    for c in range(minhash.MINS):
+        equal |= (rng.random(len(equal), dtype=np.float32) < 0.8).astype(np.uint64) << np.uint64(c)
+    ways = [{c} for _, _, c in minhash.WAYS[0]]
+    for depth, level in enumerate(minhash.WAYS, 1):
+        if depth > 1:
+            assert len({sum(p == q for _, p, _ in level) for q in range(len(ways))}) == 1
+            ways = [ways[p] | {c} for _, p, c in level]
+        assert all(len(w) == depth for w in ways)
+        missed = equal
+        for w in ways:
+            mask = np.uint64(sum(1 << c for c in w))
+            missed = missed[(missed & mask) != mask]
+        assert len(missed) < 1e-5 * len(equal), depth
+
+
+def test_nodes_with_few_strangers_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(10)
+    texts = family(rng, 60, 50, 6) + family(rng, 12, 50, 20) + ["common words here " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(12)) for _ in range(40)]
+    found = minhash.near_duplicates(plain(spark, texts), words=2)
+    assert {tuple(r) for r in found.collect()} == brute(texts, 2)
