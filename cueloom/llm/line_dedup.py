@@ -5,6 +5,10 @@ after ``MOST_LINES`` lines. A boundary depends on WINDOW lines only, so that a p
 cut alike inside, whatever stands before it. Chunks of at least two lines that are not blank can be removed: of the
 chunks with equal bytes the first (smallest doc_id, then position) stays in the whole corpus, and the others go.
 
+Chunks alone miss most short passages, whose edges lie inside chunks. With ``passages`` each pair of neighbouring
+lines that aren't blank (blank lines between them belong to it) is a unit besides the chunks, and goes by the same rule. So every line
+of a passage of two lines or more that all stood earlier goes, wherever it is cut; of each distinct line the first stays.
+
 Digests with more than one chunk are hits; a second pass sends on the bytes of chunks that can be hits (see
 ``filters``), and the smallest and largest bytes of a digest are compared. A digest that stands for different bytes removes
 nothing but what is equal to its smallest: the rest stays, which is the safe side. Occurrences are counted
@@ -33,6 +37,8 @@ WINDOW = 2
 DIVISOR = 3
 MOST_LINES = 64
 SLICE = 512
+#: Added to the first line of a pair, to tell it from a chunk.
+PAIR = 1 << 30
 _TURN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -60,12 +66,18 @@ def removable(lines: list[bytes]) -> list[tuple[int, int, bytes]]:
     return found
 
 
+def pairs(lines: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """(first line, line after the last, bytes without blank lines) of each two neighbouring lines that aren't blank."""
+    full = [i for i, line in enumerate(lines) if line != b"" and not line.isspace()]
+    return [(a, b + 1, lines[a] + b"\n" + lines[b]) for a, b in zip(full, full[1:], strict=False)]
+
+
 def _lines(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def _occurrences(docs: DataFrame, with_bytes: bool) -> DataFrame:
-    """doc, key, place, digest and, if asked for, the bytes of each removable chunk."""
+def _occurrences(docs: DataFrame, with_bytes: bool, passages: bool) -> DataFrame:
+    """doc, key, place, digest and, if asked for, the bytes of each removable chunk and, with ``passages``, pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -73,7 +85,10 @@ def _occurrences(docs: DataFrame, with_bytes: bool) -> DataFrame:
                 batch = whole.slice(at, SLICE)
                 rows = []
                 for doc, key, text in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                    rows += [(doc, key, a, xxhash.xxh3_128_digest(data), data) for a, _, data in removable(_lines(text.as_py()))]
+                    lines = _lines(text.as_py())
+                    rows += [(doc, key, a, xxhash.xxh3_128_digest(data), data) for a, _, data in removable(lines)]
+                    if passages:
+                        rows += [(doc, key, a + PAIR, xxhash.xxh3_128_digest(data, 1), data) for a, _, data in pairs(lines)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = {"doc": pa.int64(), "key": pa.int64(), "place": pa.int32(), "digest": pa.binary()} | ({"bytes": pa.binary()} if with_bytes else {})
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=False)], names=list(kinds))
@@ -81,14 +96,14 @@ def _occurrences(docs: DataFrame, with_bytes: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc long, key long, place int, digest binary" + ", bytes binary" * with_bytes)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc, key, places): the first lines of the chunks to remove from each document that loses any."""
+def repeated_chunks(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """(doc, key, places): the first lines of the chunks, and PAIR + those of the pairs, to remove from each document that loses any."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    met = written(_occurrences(plain, False), "line-chunks")
+    met = written(_occurrences(plain, False, passages), "line-chunks")
     place = F.struct("doc", "key", "place")
     hits = met.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     hits = written(hits, "line-hits")
-    seen = maybe_among(_occurrences(plain, True), "digest", hits.select("digest"))
+    seen = maybe_among(_occurrences(plain, True, passages), "digest", hits.select("digest"))
     same = seen.groupBy("digest").agg((F.min("bytes") == F.max("bytes")).alias("same"))
     hits = hits.join(same, "digest")
     removed = met.join(hits.where("same").select("digest", "first"), "digest").where(place != F.col("first")).select("doc", "key", "place")
@@ -103,12 +118,14 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 COUNTS = ("n_lines", "n_removed_chunks", "n_removed_lines")
 
 
-def remove_repeated_lines(docs: DataFrame) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     """``docs`` with the repeated chunks taken out of ``text``, and behind its columns those of COUNTS.
 
+    With ``passages`` repeated pairs of lines go too, and a stretch of removed lines counts as one chunk.
+
     Where ``docs`` has a column of such a name, the count's name gets an underscore in front.
     """
-    lost = repeated_chunks(docs)
+    lost = repeated_chunks(docs, passages)
     columns, schema = docs.columns, docs.schema
     doc, key, flag, gone, lost_doc, lost_key, *counted = free_names(columns, "doc", "key", "touched", "places", "lost_doc", "lost_key", *COUNTS)
 
@@ -122,7 +139,15 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
                     lines = _lines(text)
                     counts[0, r], counts[1, r] = len(lines), len(places)
                     if places:
-                        kept = [line for a, b in chunks(lines) if a not in places for line in lines[a:b]]
+                        spans = [(a, b) for a, b in chunks(lines) if a in places]
+                        if passages:
+                            spans += [(a, b) for a, b, _ in pairs(lines) if a + PAIR in places]
+                        gone_lines = np.zeros(len(lines), bool)
+                        for a, b in spans:
+                            gone_lines[a:b] = True
+                        if passages:
+                            counts[1, r] = np.count_nonzero(np.diff(gone_lines.view(np.int8), prepend=0) == 1)
+                        kept = [line for line, lost_line in zip(lines, gone_lines, strict=True) if not lost_line]
                         counts[2, r] = len(lines) - len(kept)
                         text = b"\n".join(kept).decode("utf-8", "surrogatepass")
                     texts.append(text)

@@ -70,7 +70,7 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    cleaned = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), passages=True)
     text = F.coalesce("text", F.lit(""))
     return cleaned.select(
         "doc_id",

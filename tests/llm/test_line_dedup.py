@@ -68,3 +68,26 @@ def test_colliding_digests_remove_equal_bytes_only(spark, monkeypatch):
     shared = "\n".join(lines(rng, 10))
     pairs = [(i, shared + "\n" + "\n".join(lines(rng, 6))) for i in range(4)]
     assert cleaned(spark, pairs) == brute(pairs)
+
+
+def test_short_passages_in_other_surroundings_go_whole(spark, tmp_path):
+    from cueloom.llm.queries import op9_line_dedup
+
+    rng = random.Random(8)
+    texts, own = [], []
+    for n in range(2, 9):
+        shared = lines(rng, n)
+        for copy in range(3):
+            before, after = lines(rng, rng.randrange(1, 5)), lines(rng, rng.randrange(1, 5))
+            texts.append("\n".join(before + (shared[:1] + [""] + shared[1:] if copy == 2 else shared) + after))
+            own.append("\n".join(before + (shared if copy == 0 else []) + after))
+    loop = "\n".join(["a b", "c d"] * 3)
+    pairs = list(enumerate([*texts, loop, None, ""]))
+    table = docs(spark, [(i, t, "en") for i, t in pairs])
+    got = {r["doc_id"]: r for r in ld.remove_repeated_lines(table, passages=True).collect()}
+    assert [got[i]["text"] for i in range(len(texts))] == own
+    assert got[len(texts)]["text"] == "a b\nc d" and got[len(texts) + 1]["text"] is None and got[len(texts) + 2]["text"] == ""
+    assert all(got[i]["n_removed_chunks"] == (i % 3 > 0) for i in range(len(texts)))
+    assert {line for t in texts for line in t.split("\n") if line} == {line for i in range(len(texts)) for line in got[i]["text"].split("\n")}
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["n_chars_kept"] for r in op9_line_dedup(spark, str(tmp_path)).collect()} == {i: len(r["text"] or "") for i, r in got.items()}
