@@ -8,9 +8,10 @@ candidates for the sample, so that no task sends on more than its share.
 A prediction lower-cases the whole text, cuts it into blocks of ``BLOCK_BYTES`` (so that a long text keeps leaning
 on the dictionary and not on itself), compresses every block with each dictionary and adds up the frames. The
 language with the fewest bytes wins. With ``margin`` = 1 - fewest/second fewest bytes, score = min(1, margin /
-FULL_MARGIN). A prediction is rejected (``accepted`` false) where the text has no letter, or where the margin is
-below ``min_margin`` although the text has ``MIN_EVIDENCE`` bytes or more; a shorter text can't show a margin, so
-that its narrow one is no reason to reject it.
+FULL_MARGIN). A prediction is rejected (``accepted`` false) where the text has no letter, or where the two best
+languages are less than ``least_difference`` bytes apart: MIN_MARGIN of the second's bytes, LEAST_BYTES in a text of 100
+bytes or more, a twentieth of a shorter text, and one byte always, so that a tie is rejected. Only a text below RAW_BYTES,
+which zstandard stores as it is with every dictionary, can't show a difference and is accepted as the commonest language.
 
 Defined results: null text, empty text and text with no letter give ``und``, score 0, rejected. Of equal sizes the
 language with the most labelled documents wins, then the one that sorts first. Null languages teach nothing. With
@@ -37,7 +38,9 @@ LEVEL = 9
 #: Share of bytes saved over the second language that counts as full confidence.
 FULL_MARGIN = 0.1
 MIN_MARGIN = 0.002
-MIN_EVIDENCE = 400
+LEAST_BYTES = 5
+#: Blocks below this size are never compressed.
+RAW_BYTES = 7
 UNDETERMINED = "und"
 
 
@@ -66,6 +69,11 @@ def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
     return [(lang, "\n".join(text for _, text in sorted(texts[lang])).encode("utf-8", "replace")[:DICTIONARY_BYTES]) for lang in order if lang in texts]
 
 
+def least_difference(size: int, second: int) -> float:
+    """Bytes by which the best language of a text of ``size`` bytes must be ahead of the second."""
+    return max(1, min(LEAST_BYTES, size // 20), MIN_MARGIN * second)
+
+
 class Classifier:
     """The compressors of one worker."""
 
@@ -89,8 +97,10 @@ class Classifier:
         best = sizes.index(min(sizes))
         if len(sizes) == 1:
             return self.compressors[0][0], 1.0, True
-        margin = 1 - sizes[best] / max(1, min(sizes[:best] + sizes[best + 1 :]))
-        return self.compressors[best][0], min(1.0, max(0.0, margin / FULL_MARGIN)), margin >= MIN_MARGIN or len(data) < MIN_EVIDENCE
+        second = min(sizes[:best] + sizes[best + 1 :])
+        margin = 1 - sizes[best] / max(1, second)
+        accepted = len(data) < RAW_BYTES or second - sizes[best] >= least_difference(len(data), second)
+        return self.compressors[best][0], min(1.0, max(0.0, margin / FULL_MARGIN)), accepted
 
 
 def _predictor(contents: list[tuple[str, bytes]]):

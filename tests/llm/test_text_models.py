@@ -44,6 +44,16 @@ def test_ties_go_to_the_commonest_language():
     assert not language_id.Classifier(same).predict("qw er " * 200)[2]
 
 
+def test_narrow_margins_are_rejected_at_every_length():
+    rng = random.Random(2)
+    classifier = language_id.Classifier([(lang, prose(rng, lang, 2000).encode()) for lang in SYLLABLES])
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    assert not any(classifier.predict(han(n))[2] for n in (3, 10, 100, 130, 1000) for _ in range(10))
+    same = language_id.Classifier([("b", b"xyz" * 50), ("a", b"xyz" * 50)])
+    assert not any(same.predict("qw er " * n)[2] for n in (2, 5, 60, 66, 70))
+    assert all(classifier.predict(prose(rng, lang, n))[::2] == (lang, True) for lang in SYLLABLES for n in (20, 40, 400))
+
+
 # --- Personal data ---------------------------------------------------------------------------------------------
 
 NAIVE = {
