@@ -150,3 +150,12 @@ def test_secrets_are_found_and_words_are_not(spark):
 
 def test_candidates_leave_names_out():
     assert [("password=abcdefgh12345678XY"[a:b]) for a, b in secrets.candidates("password=abcdefgh12345678XY")] == ["abcdefgh12345678XY"]
+
+
+def test_features_cover_the_whole_candidate():
+    language = secrets.Language(["plain", "words"])
+    rng = random.Random(3)
+    tail = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789+/", k=4096))
+    one, two = ("a" * 4096 + end for end in ("a" * 4096, tail))
+    first, second = (secrets.features(t, 0, len(t), None, language) for t in (one, two))
+    assert first[0] == second[0] and first[4] == 1 and second[4] == 0.5 and all(first[i] != second[i] for i in (1, 3, 4, 7))
