@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     scripts = script_files(spark, args.scripts).withColumn("script_id", F.xxhash64("path")).withColumn("language", F.lit(args.language)).withColumn("profile", F.lit(args.profile))
     done = written(align_scripts(scripts, aligner, limits=limits), "aligned")
     report = reports(done, profiles(spark))
-    write_outputs(done, cue_rows(done), report, args.out)
+    write_outputs(done, cue_rows(done), report, args.out, files=True)
     failed = done.where("error_class IS NOT NULL").count()
     print(f"scripts: {done.count()}, failed: {failed}, outputs: {args.out}")
     return 2 if failed else 0

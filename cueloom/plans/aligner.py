@@ -7,8 +7,11 @@ import unicodedata
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+
 from cueloom.functions import charsets as C
 from cueloom.plans.script import Token
+from cueloom.plans.timeline import Timeline
 
 
 @dataclass
@@ -23,11 +26,17 @@ class Clean:
 class Aligner(Protocol):
     """What a forced aligner offers. ``realign`` is optional: without it nothing can be repaired locally.
 
-    ``align`` gets the cleaned script, its language and where its audio is, and returns tokens with times; ``realign``
-    does so for a fragment between two times, with times that count from the first.
+    ``align`` gets the cleaned script, the engine's name of its language and where its audio is, and returns tokens with times, the
+    audio's duration and, if it likes, its own result as a dictionary for the alignment file; ``realign`` returns tokens for a
+    fragment between two times, with times that count from the first. Tokens are a list or a ``Timeline``.
     """
 
-    def align(self, script: Clean, language: str, audio: str | None) -> tuple[list[Token], float | None]: ...
+    def align(self, script: Clean, language: str, audio: str | None) -> tuple[Timeline | list[Token], float | None] | tuple[Timeline | list[Token], float | None, dict]: ...
+
+
+def engine_language(language: str) -> str:
+    """What aligners call a language: they know one written Chinese."""
+    return "zh" if language == "zh-TW" else language
 
 
 def clean(text: str | None, keep_punctuation: bool = True) -> Clean | None:
@@ -51,13 +60,14 @@ def normalized(text: str) -> str:
     return " ".join(unicodedata.normalize("NFC", kept).split())
 
 
-def mapped(tokens: list[Token], script: Clean) -> list[Token]:
+def mapped(tokens: Timeline | list[Token], script: Clean) -> Timeline:
     """Tokens with offsets: found in order in the aligned text, else in the shown text, else placed at the cursor."""
-    if all(t.mapped for t in tokens):
-        return tokens
-    out, aligned, shown = [], 0, 0
-    for t in tokens:
-        key = normalized(t.text)
+    line = Timeline.of(tokens)
+    if line.mapped.all():
+        return line
+    kept, places, aligned, shown = [], [], 0, 0
+    for i, text in enumerate(line.text):
+        key = normalized(text)
         if not key:
             continue
         at = script.align.find(key, aligned)
@@ -65,14 +75,17 @@ def mapped(tokens: list[Token], script: Clean) -> list[Token]:
             aligned = at + len(key)
             a, b = script.origin[at], script.origin[aligned - 1] + 1
         else:
-            raw = t.text.strip()
+            raw = text.strip()
             found = script.display.find(raw, shown)
             a = shown if found < 0 else found
             b = min(len(script.display), a + len(raw))
             aligned = min(len(script.align), aligned + len(key))
         shown = max(shown, b)
-        out.append(Token(t.text, max(0.0, t.start), max(t.start, t.end), a, b, t.confidence))
-    return out
+        kept.append(i)
+        places.append((a, b))
+    line = line.take(np.array(kept, dtype=np.int64))
+    a, b = np.array(places, dtype=np.int64).reshape(-1, 2).T
+    return Timeline(line.text, np.maximum(0.0, line.start), np.maximum(line.start, line.end), a, b, line.confidence)
 
 
 class SteadyAligner:
@@ -88,17 +101,21 @@ class SteadyAligner:
         if not can_realign:
             self.realign = None
 
-    def align(self, script: Clean, language: str, audio: str | None) -> tuple[list[Token], float | None]:
-        places = [i for i, c in enumerate(script.display) if not c.isspace()]
+    def _steady(self, text: str, first: int) -> Timeline:
+        """A token for each visible character of ``text``, from the ``first`` step on."""
+        chars = np.array(list(text), dtype=object)
+        places = np.flatnonzero([not c.isspace() for c in text])
+        start = (first + np.arange(len(places))) * self.step
+        return Timeline(chars[places], start, start + self.step * 0.8, places, places + 1, np.full(len(places), self.confidence))
+
+    def align(self, script: Clean, language: str, audio: str | None) -> tuple[Timeline, float | None]:
         self.truth = "".join(script.display.split())
-        shifted = len(places) * self.drift_from
-        tokens = [
-            Token(script.display[i], (t := k * self.step + (self.drift if k >= shifted else 0.0)), t + self.step * 0.8, i, i + 1, self.confidence)
-            for k, i in enumerate(places)
-        ]
-        return tokens, len(places) * self.step + max(0.0, self.drift)
-
-    def realign(self, script: Clean, language: str, audio_start: float, audio_end: float) -> list[Token]:
+        line = self._steady(script.display, 0)
+        late = np.where(np.arange(len(line)) >= len(line) * self.drift_from, self.drift, 0.0)
+        line.start, line.end = line.start + late, line.end + late
+        return line, len(line) * self.step + max(0.0, self.drift)
+
+    def realign(self, script: Clean, language: str, audio_start: float, audio_end: float) -> Timeline:
         if self.fails:
             raise RuntimeError("realignment failed")
         wanted = "".join(script.display.split())
@@ -107,5 +124,4 @@ class SteadyAligner:
             spots.append(at)
             at = self.truth.find(wanted, at + 1)
         first = min(spots, key=lambda s: abs(s * self.step - audio_start - 4.0), default=0)
-        places = [i for i, c in enumerate(script.display) if not c.isspace()]
-        return [Token(script.display[i], (t := (first + k) * self.step - audio_start), t + self.step * 0.8, i, i + 1, self.confidence) for k, i in enumerate(places)]
+        return self._steady(script.display, first).shifted(0, -audio_start)

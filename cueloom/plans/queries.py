@@ -648,25 +648,22 @@ def subtitle_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kernel(cues: DataFrame, scripts: DataFrame, work) -> DataFrame:
     """CUE rows after ``work(cues, script, profile)`` on each script's cues."""
     from cueloom.functions.profiles import resolve
-    from cueloom.plans.job import CUE
+    from cueloom.plans.job import CUE, cue_batch
     from cueloom.plans.script import Cue, Script
 
     one = F.struct("idx", "start", "end", "text", "start_char", "end_char")
     gathered = cues.groupBy("script_id", "language", "profile").agg(F.array_sort(F.collect_list(one)).alias("cues")).join(scripts.select("script_id", "display_text"), "script_id")
-    names = [f.split()[0] for f in CUE.split(", ")]
 
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                own = [Cue(c["start"], c["end"], c["text"], c["start_char"], c["end_char"]) for c in row.cues]
-                done = work(own, Script(row.display_text, row.language), resolve(row.profile, row.language))
-                rows += [(row.script_id, row.language, row.profile, i, c.start, c.end, c.text, c.a, c.b, c.warnings) for i, c in enumerate(done, 1)]
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, len(batch), 64):
+                found = []
+                for row in batch.slice(at, 64).to_pylist():
+                    own = [Cue(c["start"], c["end"], c["text"], c["start_char"], c["end_char"]) for c in row["cues"]]
+                    found.append((row, work(own, Script(row["display_text"], row["language"]), resolve(row["profile"], row["language"]))))
+                yield cue_batch(found)
 
-    return gathered.mapInPandas(run, CUE)
+    return gathered.mapInArrow(run, CUE)
 
 
 @query()
@@ -703,7 +700,7 @@ def drifting_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueloom.plans.job import align_scripts, reports
 
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("script_id"), F.col("lang").alias("language"), F.lit("standard").alias("profile"), F.col("text").alias("script_text"))
-    done = align_scripts(docs, SteadyAligner(step=0.06, drift=9.0, drift_from=0.5))
+    done = align_scripts(docs, SteadyAligner(step=0.06, drift=9.0, drift_from=0.5), with_tokens=False)
     report = reports(done, profiles(spark))
     return report.select("script_id", "quality_score", "timeline_status", F.get_json_object("timeline", "$.max_anchor_gap_seconds").cast("double").alias("max_anchor_gap_seconds"), F.size("warnings").alias("warnings"))
 
@@ -715,5 +712,5 @@ def aligned_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueloom.plans.job import align_scripts
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("script_id"), F.col("lang").alias("language"), F.lit("standard").alias("profile"), F.col("text").alias("script_text"))
-    done = align_scripts(docs, SteadyAligner(step=0.06))
+    done = align_scripts(docs, SteadyAligner(step=0.06), with_tokens=False)
     return done.select("script_id", "language", "error_class", "audio_duration", F.size("cues").alias("cues"), "timeline_status", "timeline_score")

@@ -6,7 +6,6 @@ a cue may end there and how good that is. The sequential kernels in ``splitting`
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -16,8 +15,6 @@ import numpy as np
 from cueloom.functions import charsets as C
 from cueloom.functions.profiles import language_group
 
-_WORDS = re.compile(r"[A-Za-z']+")
-
 
 @dataclass
 class Token:
@@ -61,6 +58,12 @@ class Cue:
     def but(self, **changes) -> Cue:
         return Cue(**({"start": self.start, "end": self.end, "text": self.text, "a": self.a, "b": self.b, "warnings": self.warnings} | changes))
 
+    def at(self, start: float, end: float) -> Cue:
+        """The same text at other times."""
+        moved = Cue(start, end, self.text, self.a, self.b, self.warnings)
+        moved.__dict__["chars"] = self.chars
+        return moved
+
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
@@ -187,14 +190,39 @@ class Script:
             return b, b
         return a + len(part) - len(part.lstrip()), b - len(part) + len(part.rstrip())
 
-    def bad_edge(self, a: int, b: int) -> bool:
-        """Whether the line [a, b) ends in what a line must not end in."""
-        at = int(self.before[b])
+    @cached_property
+    def _last_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each offset the last word character before it, where its word begins, and whether the word up to there is an English edge word."""
+        codes = _codes(self.text)
+        folded = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
+        word = ((folded >= 97) & (folded <= 122)) | (codes == ord("'"))
+        index = np.arange(self.n)
+        begins = np.maximum.accumulate(np.where(word & ~np.concatenate([[False], word[:-1]]), index, -1)) if self.n else index
+        is_edge = np.zeros(self.n, dtype=bool)
+        for edge in C.EN_EDGES:
+            size = len(edge)
+            hit = word & (index - begins == size - 1)
+            for back, ch in enumerate(reversed(edge)):
+                hit &= np.concatenate([np.zeros(min(back, self.n), np.int64), folded])[: self.n] == ord(ch)
+            is_edge |= hit
+        last = np.concatenate([[-1], np.maximum.accumulate(np.where(word, index, -1))]) if self.n else np.array([-1])
+        return last, np.where(last >= 0, np.append(begins, 0)[last], 0), np.append(is_edge, False)[last]
+
+    def bad_edges(self, a: int, at: np.ndarray) -> np.ndarray:
+        """Whether the lines from ``a`` to each of the offsets ``at`` end in what a line must not end in."""
         if self.group == "en":
-            words = _WORDS.findall(self.text[max(a, b - 64) : b]) or _WORDS.findall(self.text[a:b])
-            return bool(words) and words[-1].lower() in C.EN_EDGES
-        last = self.text[at] if at >= a else ""
-        return last != "" and last in {"ja": C.JA_EDGES, "cjk": C.ZH_EDGES + C.OPEN_QUOTES + C.STRAIGHT_QUOTES, "ko": C.OPEN_QUOTES + C.STRAIGHT_QUOTES}[self.group]
+            last, begins, is_edge = (x[at] for x in self._last_words)
+            bad = (last >= a) & is_edge
+            for i in np.flatnonzero((last >= a) & (begins < a)):  # the line begins inside its only word
+                bad[i] = self.text[a : last[i] + 1].lower() in C.EN_EDGES
+            return bad
+        edges = {"ja": C.JA_EDGES, "cjk": C.ZH_EDGES + C.OPEN_QUOTES + C.STRAIGHT_QUOTES, "ko": C.OPEN_QUOTES + C.STRAIGHT_QUOTES}[self.group]
+        return (self.before[at] >= a) & np.isin(self.prev[at], _codes(edges))
+
+    @cached_property
+    def pause_worth(self) -> np.ndarray:
+        """70 after an offset's strong punctuation, 35 after weaker, else 0."""
+        return np.where(_among(self.prev, C.STRONG), 70.0, np.where(_among(self.prev, C.MID), 35.0, 0.0))
 
     def covered_by(self, cues: list[Cue]) -> bool:
         """Whether the cues' text is the script's, white space aside."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,60 @@ def vtt(cues: DataFrame) -> DataFrame:
 
 
 def alignment_json(results: DataFrame) -> DataFrame:
-    """script_id and the alignment file of each aligned script."""
-    payload = F.struct("language", "profile", F.length("display_text").alias("script_length"), "audio_duration", "timeline", "cues")
-    return results.where("error_class IS NULL").select("script_id", F.to_json(payload).alias("alignment"))
+    """script_id and the alignment file of each aligned script: settings, diagnostics, the engine's own result, tokens and cues."""
+    nested = {"timeline_diagnostics": "timeline", "token_diagnostics": "token_diagnostics", "cue_diagnostics": "cue_diagnostics", "engine_result": "engine_result"}
+    plain = F.struct(
+        "language",
+        F.col("profile").alias("subtitle_profile"),
+        "audio_duration",
+        F.length("display_text").alias("display_text_length"),
+        "align_text_length",
+        "tokens",
+        F.transform("cues", lambda c: F.struct(c["idx"].alias("index"), *[c[x].alias(x) for x in ("start", "end", "text", "start_char", "end_char", "warnings")])).alias("cues"),
+    )
+    # The nested parts are JSON already, and go in front of the other fields as they are.
+    front = F.concat_ws(", ", *[F.concat(F.lit(f'"{name}": '), F.coalesce(F.col(column), F.lit("{}"))) for name, column in nested.items()])
+    body = F.to_json(plain, {"ignoreNullFields": "false"})
+    whole = F.concat(F.lit("{"), front, F.lit(", "), F.substring(body, F.lit(2), F.length(body) - 1))
+    return results.where("error_class IS NULL").select("script_id", whole.alias("alignment"))
 
 
 def report_json(reports: DataFrame) -> DataFrame:
     return reports.select("script_id", F.to_json(F.struct(*[c for c in reports.columns if c != "script_id"])).alias("quality_report"))
 
 
-def write_outputs(results: DataFrame, cues: DataFrame, reports: DataFrame, path: str) -> None:
-    """One folder per kind below ``path``, with a row per script: output_srt, output_vtt, alignment, quality_report."""
-    for name, table in (("output_srt", srt(cues)), ("output_vtt", vtt(cues)), ("alignment", alignment_json(results)), ("quality_report", report_json(reports))):
+def write_outputs(results: DataFrame, cues: DataFrame, reports: DataFrame, path: str, files: bool = False) -> None:
+    """One folder per kind below ``path``, with a row per script: output_srt, output_vtt, alignment, quality_report.
+
+    With ``files`` there are also the four files themselves for each script, ``path/scripts/ID/output.srt`` and so on.
+    """
+    kinds = {"output_srt": (srt(cues), "output.srt"), "output_vtt": (vtt(cues), "output.vtt"), "alignment": (alignment_json(results), "alignment.json"), "quality_report": (report_json(reports), "quality_report.json")}
+    for name, (table, file_name) in kinds.items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
+        if files:
+            written = table.sparkSession.read.parquet(f"{path}/{name}")
+            content = next(c for c in written.columns if c != "script_id")
+            write_files(written.select(F.concat_ws("/", F.lit("scripts"), F.col("script_id").cast("string"), F.lit(file_name)).alias("name"), F.col(content).alias("content")), path)
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """Each row (name, content) as a UTF-8 file below ``path``, written by the task that holds it through PyArrow's file systems.
+
+    A file is first written beside its place and then moved there, so that a task that runs again leaves whole files only.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                target = f"{root.rstrip('/')}/{name}"
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write((content or "").encode("utf-8", "surrogatepass"))
+                store.move(part, target)
+            yield batch.slice(0, 0)
+
+    rows.select("name", "content").mapInArrow(run, "name string, content string").write.format("noop").mode("overwrite").save()

@@ -2,15 +2,23 @@
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``: the driver and every executor see it, so a
 lost executor loses nothing that was written there. Only where the setting is absent, as in tests, a folder below
-the warehouse is taken.
+the warehouse is taken, which must be shared too on a cluster.
+
+Tables that only an operator's own steps read are deleted when it leaves its ``scratch``; what its result reads is written with
+``outlive`` and stays until the cluster clears the folder.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -21,18 +29,35 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A path for a new table, which goes with the scratch that is open unless it is to ``outlive`` it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _open.get()) is not None and not outlive:
+        paths.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back with its own schema."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = new_path(spark, name, outlive)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, tables are recorded when they are written, and deleted at its end."""
+    paths: list[str] = []
+    token = _open.set(paths)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in paths:
+            drop_path(spark, path)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches from now on: what a Python worker and its JVM task hold for one stays at a few megabytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
