@@ -8,7 +8,8 @@ aggregation whose groups are single pairs of conversations.
 Defined results: turns are equal when role and text are, nulls included; null renders as empty. Turns of one conversation are
 ordered by (turn, role, text). A missing side is an empty conversation and ``paired`` is false. Two equal conversations
 have empty completions. ``comparable`` says that both completions begin with an assistant turn. The template's marks inside
-a text are defused ("<|" becomes "< |"), so that no text can pose as a turn. Other columns aren't read.
+a text are defused ("<|" becomes "< |"), so that no text can pose as a turn. Conversation ids of any size and sign are
+paired; turns with a null id are left out. Other columns of ``pairs`` pass through, whatever their names; those of the turns aren't read.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueloom.llm.filters import free_names
+
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
 
@@ -56,30 +59,42 @@ def common_turns(chosen: Column, rejected: Column) -> Column:
     return F.least(shorter, F.coalesce(F.array_position(differs, True), F.lit(0)).cast("int") - 1 + F.when(F.array_contains(differs, True), 0).otherwise(shorter + 1)).cast("int")
 
 
+RESULT = ("n_common", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask", "paired", "comparable")
+
+
 def format_pairs(pairs: DataFrame) -> DataFrame:
-    """n_common, prompt, chosen, rejected, their masks, paired and comparable beside the columns of ``pairs``."""
+    """n_common, prompt, chosen, rejected, their masks, paired and comparable beside the other columns of ``pairs``.
+
+    Where ``pairs`` has a column of such a name (``chosen`` and ``rejected`` aside), the new one gets an underscore in front.
+    """
+    others = [c for c in pairs.columns if c not in ("chosen", "rejected")]
+    names = free_names(others, *RESULT)
+    left, right, n, own_left, own_right = free_names([*pairs.columns, *names], "left", "right", "n", "own_left", "own_right")
     none = F.array().cast("array<struct<role:string,text:string>>")
-    sides = pairs.withColumn("_c", F.coalesce("chosen", none)).withColumn("_r", F.coalesce("rejected", none)).withColumn("_n", common_turns(F.col("_c"), F.col("_r")))
-    rest = {s: F.slice(F.col(s), F.col("_n") + 1, F.greatest(F.lit(0), F.size(s) - F.col("_n"))) for s in ("_c", "_r")}
-    cut = sides.withColumn("_a", rest["_c"]).withColumn("_b", rest["_r"])
-    return cut.select(
-        *[c for c in pairs.columns if c not in ("chosen", "rejected")],
-        F.col("_n").alias("n_common"),
-        rendered(F.slice("_c", F.lit(1), F.col("_n"))).alias("prompt"),
-        rendered(F.col("_a")).alias("chosen"),
-        rendered(F.col("_b")).alias("rejected"),
-        mask(F.col("_a")).alias("chosen_mask"),
-        mask(F.col("_b")).alias("rejected_mask"),
-        ((F.size("_c") > 0) & (F.size("_r") > 0)).alias("paired"),
-        F.coalesce((F.get("_a", F.lit(0))["role"] == TRAINED_ROLE) & (F.get("_b", F.lit(0))["role"] == TRAINED_ROLE), F.lit(False)).alias("comparable"),
+    sides = pairs.withColumn(left, F.coalesce("chosen", none)).withColumn(right, F.coalesce("rejected", none))
+    sides = sides.withColumn(n, common_turns(F.col(left), F.col(right)))
+    for side, own in ((left, own_left), (right, own_right)):
+        sides = sides.withColumn(own, F.slice(F.col(side), F.col(n) + 1, F.greatest(F.lit(0), F.size(side) - F.col(n))))
+    one, two = F.col(own_left), F.col(own_right)
+    first_is_trained = [F.get(own, F.lit(0))["role"] == TRAINED_ROLE for own in (own_left, own_right)]
+    found = (
+        F.col(n),
+        rendered(F.slice(left, F.lit(1), F.col(n))),
+        rendered(one),
+        rendered(two),
+        mask(one),
+        mask(two),
+        (F.size(left) > 0) & (F.size(right) > 0),
+        F.coalesce(first_is_trained[0] & first_is_trained[1], F.lit(False)),
     )
+    return sides.select(*[F.col(f"`{c}`") for c in others], *[value.alias(name) for value, name in zip(found, names, strict=True)])
 
 
 def conversation_pairs(turns: DataFrame) -> DataFrame:
     """pair_id, chosen, rejected: conversations 2 i (chosen) and 2 i + 1 (rejected) of (conv_id, turn, role, text) rows."""
     conv = F.col("conv_id").cast("long")
     one = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    own = turns.where("conv_id IS NOT NULL").select(F.floor(conv / 2).alias("pair_id"), F.pmod(conv, F.lit(2)).alias("side"), one.alias("one"))
+    own = turns.where("conv_id IS NOT NULL").select(F.shiftright(conv, 1).alias("pair_id"), F.pmod(conv, F.lit(2)).alias("side"), one.alias("one"))
 
     def side(n: int) -> Column:
         gathered = F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("one"))))
