@@ -1,29 +1,40 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-A document's set holds its distinct word shingles. Documents with equal sets form one class, and only the class's
-smallest doc_id goes on. ``TREES`` independent trees branch documents by minwise tokens: the way through a tree is a sequence of
+A document's set holds its distinct word shingles. Documents with equal sets form one class, and only the class goes on,
+under its smallest doc_id. ``TREES`` independent trees branch documents by minwise tokens: the way through a tree is a sequence of
 hash functions, a node holds the documents that have the same minwise tokens along its way, and a node is branched
 on while it holds more than ``SMALL`` documents. Every node has ``FORK`` ways on, each by a hash function that the way
-to it has not used, so that a pair at the threshold keeps meeting. Nodes of at most SMALL documents are compared exhaustively by sketches (64 minwise tokens, 4 bits
-each), and pairs that can be similar enough are confirmed on their full sets.
+to it has not used, so that a pair at the threshold keeps meeting. Before its first branching a larger node is cut by set size into
+overlapping ranges: sets whose sizes allow the similarity share a range, so that this loses no pair. Nodes of at most SMALL
+documents are compared exhaustively by sketches, and pairs that can be similar enough are confirmed on their full sets.
+
+A document has two sketches: 4 bits of each of its MINS minwise tokens, and 4 bits of the least shingle in each of ``BINS``
+ranges of the hash. The second is read only where a document is sent on, which is where a passage that many documents share would
+otherwise let pairs of middling similarity through.
 
 Only components are asked for, so that a cohesive group does not need all its pairs. First each document of a node is
 paired with the first document of the node that it resembles (in larger nodes, with the first document of the node),
 and confirmed links give provisional components. Then documents that resemble one of another provisional component in
 their node bring their sets to the node, all of these pairs are compared, and those that join components are confirmed. No pair that
 met in a small node and resembled is left out: it is confirmed, refuted, or already connected; and a node sends on fewer
-rows than it holds, however many of its pairs are alike. Larger nodes of one provisional component need no more branching.
+rows than it holds, however many of its pairs are alike. Nodes of one provisional component need no more branching.
 Larger nodes with at most BLOCK documents outside their commonest component, and what is still large and mixed after
 ``DEPTH`` levels, are compared exhaustively in blocks of BLOCK documents.
 
+From the first branching on a document is one row with the list of its nodes (bounded by the number of ways), wherever it is
+joined with what belongs to it (minwise tokens, sketch, component, set); the rows for its nodes are made after the join.
+
 A pair of similarity 0.8 stays together in one tree with probability 0.80 at depth 1, 0.77 at depth 2, 0.75 at depth 6
 (a depth is a number of tokens that must be equal). The trees share the MINS tokens and are not independent: drawn over
-equal tokens, all 12 miss it with probability 5e-6 at depth 6, where they would with 6e-8 if they were; its sketch is missed
-with probability below 1e-6. Minwise tokens are taken as independent here.
+equal tokens, all 12 miss it with probability 5e-6 at depth 6, where they would with 6e-8 if they were; its sketches are missed
+with probability below 2e-6. Minwise tokens are taken as independent here.
 
 Defined results: text is null or has no word: an empty set, no link, kept. Fewer words than a shingle has: the whole
-sequence is the one shingle. Repeated rows of one doc_id are one document. Ties are settled by doc_id. An empty table gives
-an empty result. Other columns aren't read. Words of any length and texts of any length are hashed whole.
+sequence is the one shingle. Repeated rows of one doc_id and text are one document; a doc_id that repeats with other text is a
+document for each text, and each has its own links. Rows with a null doc_id take the component of their equals; where all of these
+have null ids, component_id is null, kept is true and near links are not looked for. Ties are settled by doc_id. An empty table gives
+an empty result. Other columns aren't read. Words of any length and texts of any length are hashed whole. Sets are compared
+as 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -38,7 +49,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm.components import components
 from cueloom.llm.filters import maybe_among
-from cueloom.sources.workspace import written
+from cueloom.sources.workspace import scratch, written
 
 TREES = 12
 FORK = 2
@@ -48,6 +59,9 @@ BLOCK = 128
 MINS = 64
 #: Equal tokens of 64 that a pair's sketches need: 52 are expected at similarity 0.8, with a deviation of 3.1.
 LIKE = 36
+#: Ranges of the hash of which the second sketch holds the least shingle, and the deviations by which a pair may fall short there.
+BINS = 256
+SIGMAS = 5.0
 SEED = 20_240_229
 HASH_BLOCK = 1 << 20
 
@@ -122,6 +136,15 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
     return reduce(np.minimum, parts)
 
 
+def least_in_bins(shingles: np.ndarray) -> np.ndarray:
+    """4 bits (1 to 15) of the least value in each bin of sorted ``shingles``, 0 for an empty bin; two to a byte."""
+    first = np.searchsorted(shingles, _BIN_STARTS)
+    full = first < np.r_[first[1:], len(shingles)]
+    found = np.zeros(BINS, np.uint8)
+    found[full] = (shingles[first[full]] >> _U64(24)) % _U64(15) + _U64(1)
+    return found[::2] << 4 | found[1::2]
+
+
 def _plan_ways() -> list[list[tuple[int, int, int]]]:
     """For each level its (way, way it comes from, hash function): FORK ways on from each, the functions used about equally often."""
     rng = np.random.default_rng(SEED + 1)
@@ -145,8 +168,10 @@ def _plan_ways() -> list[list[tuple[int, int, int]]]:
 
 
 WAYS = _plan_ways()
-SIGNED = "doc long, n long, key_a long, key_b long, mins binary"
+SIGNED = "doc long, n long, key_a long, key_b long, mins binary, bins binary"
 NODE = "node long, way int, doc long, n long, sketch binary"
+PLACED = NODE + ", bins binary, label long"
+_BIN_STARTS = np.arange(BINS, dtype=np.uint64) << _U64(56)
 
 
 def _arrow(columns: dict) -> pa.RecordBatch:
@@ -171,23 +196,26 @@ def _unbinary(column: pa.Array, width: int, kind) -> np.ndarray:
     return np.frombuffer(data, dtype=kind).reshape(len(column), width)
 
 
+def set_key(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    return tuple(int(mix(shingles + _U64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (1, 2))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Set size, 128-bit set key and minwise values of each document that has a word."""
+    """Set size, 128-bit set key, minwise values and the second sketch of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
-            n, keys, mins = [], [], []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py(), words)
-                n.append(len(s))
-                keys.append(tuple(int(mix(s + _U64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (1, 2)))
-                mins.append(minwise(s) if len(s) else np.zeros(MINS, np.uint32))
+            sets = [shingle_set(text.as_py(), words) for text in batch.column("text")]
+            keys = [set_key(s) for s in sets]
+            mins = [minwise(s) if len(s) else np.zeros(MINS, np.uint32) for s in sets]
             yield _arrow({
                 "doc": batch.column("doc"),
-                "n": pa.array(n, pa.int64()),
+                "n": pa.array([len(s) for s in sets], pa.int64()),
                 "key_a": pa.array([k[0] for k in keys], pa.int64()),
                 "key_b": pa.array([k[1] for k in keys], pa.int64()),
                 "mins": _binary(np.array(mins, np.uint32).reshape(-1, MINS).view(np.uint8)),
+                "bins": _binary(np.array([least_in_bins(s) for s in sets], np.uint8).reshape(-1, BINS // 2)),
             })
 
     return docs.mapInArrow(run, SIGNED)
@@ -203,30 +231,73 @@ def _nibbles(sketches: np.ndarray) -> np.ndarray:
     return np.concatenate([sketches >> 4, sketches & 15], axis=1)
 
 
-def _children(rows: DataFrame, level: int) -> DataFrame:
-    """The nodes of ``level`` for rows (node, way, doc, n, mins) of the level above."""
+def _roots(reps: DataFrame) -> DataFrame:
+    """The nodes of the first level: one in each tree for each of ``reps`` (doc, n, mins)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches):
+            mins = _unbinary(batch.column("mins"), MINS, np.uint32)
+            sketch = _binary(_sketches(mins))
+            for way, _, c in WAYS[0]:
+                node = mix(mix(np.full(len(mins), way + 1, np.uint64)) + mins[:, c])
+                yield _arrow({"node": pa.array(node.view(np.int64)), "way": pa.array(np.full(len(mins), way, np.int32)), "doc": batch.column("doc"), "n": batch.column("n"), "sketch": sketch})
+
+    return reps.select("doc", "n", "mins").mapInArrow(run, NODE)
+
+
+def _gathered(places: DataFrame, named: DataFrame) -> DataFrame:
+    """One row for each document of ``places`` (node, way, doc): what ``named`` has of it, and its nodes as ``at``."""
+    return places.groupBy("doc").agg(F.collect_list(F.struct("node", "way")).alias("at")).join(named, "doc")
+
+
+def _same(node: np.ndarray, way: np.ndarray, n: np.ndarray, mins: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their nodes, their ways): the nodes themselves."""
+    yield np.arange(len(node)), node, way
+
+
+def _by_size(node: np.ndarray, way: np.ndarray, n: np.ndarray, mins: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Two overlapping ranges of set sizes; sizes that allow the similarity share one."""
+    step = np.floor(np.log(n) / (np.log(100 / percent) * (1 + 1e-9))).astype(np.int64)
+    for down in (0, 1):
+        yield np.arange(len(node)), mix(node ^ mix((step + 1 - down).astype(np.uint64) + _U64(1 << 40))), way
+
+
+def _branched(level: int):
+    """The ways of ``level`` that lead on from the nodes of the level above."""
     by_parent: dict[int, list[tuple[int, int]]] = {}
     for way, parent, c in WAYS[level]:
         by_parent.setdefault(parent, []).append((way, c))
 
+    def ways(node: np.ndarray, above: np.ndarray, n: np.ndarray, mins: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for parent in np.unique(above):
+            at = np.flatnonzero(above == parent)
+            for way, c in by_parent[int(parent)]:
+                yield at, mix(mix(node[at] + _U64((level << 32) + way + 1)) + mins[at, c]), np.full(len(at), way, np.int32)
+
+    return ways
+
+
+def _placed(gathered: DataFrame, ways, percent: int) -> DataFrame:
+    """The rows (PLACED) for the nodes to which ``ways`` leads from those of ``gathered``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, 128):
+            at = batch.column("at")
+            of = np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy()))
+            flat = at.flatten()
+            node, way = flat.field("node").to_numpy().view(np.uint64), flat.field("way").to_numpy()
             mins = _unbinary(batch.column("mins"), MINS, np.uint32)
-            node, above = batch.column("node").to_numpy().view(np.uint64), batch.column("way").to_numpy()
-            sketch = _sketches(mins)
-            for parent, ways in by_parent.items():
-                at = np.flatnonzero(above == parent)
-                for way, c in ways if len(at) else ():
-                    new = mix(mix(node[at] + _U64((level << 32) + way + 1)) + mins[at, c])
-                    yield _arrow({
-                        "node": pa.array(new.view(np.int64)),
-                        "way": pa.array(np.full(len(at), way, np.int32)),
-                        "doc": batch.column("doc").take(pa.array(at)),
-                        "n": batch.column("n").take(pa.array(at)),
-                        "sketch": _binary(sketch[at]),
-                    })
-
-    return rows.select("node", "way", "doc", "n", "mins").mapInArrow(run, NODE)
+            sketch = _binary(_sketches(mins))
+            parts = list(ways(node, way, batch.column("n").to_numpy()[of], mins[of], percent))
+            if parts:
+                rows, to, by = (np.concatenate(p) for p in zip(*parts, strict=True))
+                own = pa.array(of[rows])
+                yield _arrow({
+                    "node": pa.array(to.view(np.int64)), "way": pa.array(by.astype(np.int32)), "doc": batch.column("doc").take(own), "n": batch.column("n").take(own),
+                    "sketch": sketch.take(own), "bins": batch.column("bins").take(own), "label": batch.column("label").take(own),
+                })
+
+    return gathered.select("doc", "n", "mins", "bins", "label", "at").mapInArrow(run, PLACED)
 
 
 def _by_node(batches: Iterator[pa.RecordBatch], key: str = "node") -> Iterator[pa.RecordBatch]:
@@ -245,10 +316,19 @@ def _by_node(batches: Iterator[pa.RecordBatch], key: str = "node") -> Iterator[p
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def _bins_alike(one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the second sketches (rows of nibbles) allow the similarity."""
+    share = percent / 100
+    held = np.count_nonzero(one | two, axis=1)
+    equal = np.count_nonzero((one == two) & (one != 0), axis=1)
+    return equal >= share * held - SIGMAS * np.sqrt(share * (1 - share) * held)
+
+
 def _resembling(batch: pa.RecordBatch, percent: int, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < j of one node with sketches alike, sizes that allow the similarity and, given labels, other labels."""
     node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
     sketch = _nibbles(_unbinary(batch.column("sketch"), MINS // 2, np.uint8))
+    bins = _nibbles(_unbinary(batch.column("bins"), BINS // 2, np.uint8)) if "bins" in batch.schema.names else None
     left, right = [], []
     for shift in range(1, len(node)):
         i = np.flatnonzero(node[:-shift] == node[shift:])
@@ -257,9 +337,11 @@ def _resembling(batch: pa.RecordBatch, percent: int, label: np.ndarray | None) -
         i = i[100 * np.minimum(n[i], n[i + shift]) >= percent * np.maximum(n[i], n[i + shift])]
         if label is not None:
             i = i[label[i] != label[i + shift]]
-        for at in range(0, len(i), 65536):
-            part = i[at : at + 65536]
+        for at in range(0, len(i), 8192):
+            part = i[at : at + 8192]
             part = part[(sketch[part] == sketch[part + shift]).sum(axis=1) >= LIKE]
+            if bins is not None and len(part):
+                part = part[_bins_alike(bins[part], bins[part + shift], percent)]
             left.append(part)
             right.append(part + shift)
     none = np.empty(0, np.int64)
@@ -267,7 +349,7 @@ def _resembling(batch: pa.RecordBatch, percent: int, label: np.ndarray | None) -
 
 
 def _first_pairs(leaves: DataFrame, percent: int) -> DataFrame:
-    """Of each small node: (doc, first doc that it resembles), and the rows of nodes with further pairs."""
+    """Of each small node: (doc, first doc that it resembles), and the rows (a, b and node) of nodes with further pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
@@ -278,30 +360,23 @@ def _first_pairs(leaves: DataFrame, percent: int) -> DataFrame:
             order = np.lexsort((i, j))
             i, j = i[order], j[order]
             head = np.r_[True, j[1:] != j[:-1]]
-            more = np.unique(node[j[~head]])
-            for a, b, open_ in ((doc[i[head]], doc[j[head]], None), *(((doc[at], doc[at], at)) for at in [np.flatnonzero(np.isin(node, more))] if len(at))):
-                size = len(a)
-                yield _arrow({
-                    "a": pa.array(a),
-                    "b": pa.array(b),
-                    "node": pa.nulls(size, pa.int64()) if open_ is None else batch.column("node").take(pa.array(open_)),
-                    "n": pa.nulls(size, pa.int64()) if open_ is None else batch.column("n").take(pa.array(open_)),
-                    "sketch": pa.nulls(size, pa.binary()) if open_ is None else batch.column("sketch").take(pa.array(open_)),
-                })
+            yield _arrow({"a": pa.array(doc[i[head]]), "b": pa.array(doc[j[head]]), "node": pa.nulls(int(head.sum()), pa.int64())})
+            more = np.flatnonzero(np.isin(node, np.unique(node[j[~head]])))
+            yield _arrow({"a": pa.array(doc[more]), "b": pa.array(doc[more]), "node": pa.array(node[more])})
 
     ordered = leaves.repartition("node").sortWithinPartitions("node", "doc").select("node", "doc", "n", "sketch")
-    return ordered.mapInArrow(run, "a long, b long, node long, n long, sketch binary")
+    return ordered.mapInArrow(run, "a long, b long, node long")
 
 
 def _involved(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``rows`` (node, doc, n, sketch, label) that resemble a row of their node with another label."""
+    """The rows (node, doc, n, label) of ``rows`` (PLACED) that resemble a row of their node with another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
             i, j = _resembling(batch, percent, batch.column("label").to_numpy())
             yield batch.take(pa.array(np.union1d(i, j).astype(np.int64))).select(["node", "doc", "n", "label"])
 
-    ordered = rows.repartition("node").sortWithinPartitions("node", "doc").select("node", "doc", "n", "sketch", "label")
+    ordered = rows.repartition("node").sortWithinPartitions("node", "doc").select("node", "doc", "n", "sketch", "bins", "label")
     return ordered.mapInArrow(run, "node long, doc long, n long, label long")
 
 
@@ -332,17 +407,51 @@ def _node_links(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
     return out
 
 
-def _joining_pairs(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+class _Texts:
+    """Where the full sets of classes come from: the documents themselves, filtered before they are hashed again."""
+
+    def __init__(self, docs: DataFrame, words: int, repeated: DataFrame | None):
+        self.docs, self.words, self.repeated = docs, words, repeated
+
+    def sets(self, ids: DataFrame, halves: bool) -> DataFrame:
+        """(doc, shingles) for at least the classes in the one column of ``ids``: sorted hashes, or only their upper halves, as bytes."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _sliced(batches, 128):
+                found = [shingle_set(text.as_py(), words) for text in batch.column("text")]
+                keys = [set_key(s) for s in found]
+                data = [(s >> _U64(32)).astype(np.uint32).tobytes() if halves else s.tobytes() for s in found]
+                yield _arrow({"doc": batch.column("doc"), "key_a": pa.array([k[0] for k in keys], pa.int64()), "key_b": pa.array([k[1] for k in keys], pa.int64()), "shingles": pa.array(data, pa.binary())})
+
+        if self.repeated is not None:  # ids of repeated doc_ids are not doc_ids
+            ids = ids.toDF("id").join(self.repeated, "id", "left").select(F.coalesce("doc", "id"))
+        near = maybe_among(self.docs, "doc", ids.distinct()).mapInArrow(run, "doc long, key_a long, key_b long, shingles binary")
+        named = _class_ids(near, self.repeated).select(F.col("id").alias("doc"), "shingles")
+        return named if self.repeated is None else named.dropDuplicates(["doc"])
+
+
+def _class_ids(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``rows`` (doc, key_a, key_b, ...) with the id of their class: doc, or a hash where several classes have that doc."""
+    if repeated is None:
+        return rows.withColumn("id", F.col("doc"))
+    return rows.join(repeated.select("doc", F.lit(True).alias("several")).distinct(), "doc", "left").withColumn("id", F.when(F.col("several"), F.xxhash64("doc", "key_a", "key_b")).otherwise(F.col("doc"))).drop("several")
+
+
+def _joining_pairs(rows: DataFrame, texts: _Texts, percent: int) -> DataFrame:
     """Pairs of ``rows`` (node, doc, n, label) whose sets, compared in their node, are similar and join components.
 
     Sets travel as the upper halves of their hashes, which can only make two of them look more alike; the pairs are
     confirmed on full sets afterwards.
     """
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            found = [(shingle_set(text.as_py(), words) >> _U64(32)).astype(np.uint32).tobytes() for text in batch.column("text")]
-            yield _arrow({"doc": batch.column("doc"), "half": pa.array(found, pa.binary())})
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, 16):
+            nodes = batch.column("nodes")
+            own = pa.array(np.repeat(np.arange(len(batch)), np.diff(nodes.offsets.to_numpy())))
+            for at in range(0, len(own), 64):
+                part = own.slice(at, 64)
+                yield _arrow({"node": nodes.flatten().slice(at, 64), **{c: batch.column(c).take(part) for c in ("doc", "n", "label", "shingles")}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
@@ -350,98 +459,118 @@ def _joining_pairs(rows: DataFrame, docs: DataFrame, words: int, percent: int) -
             edges = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1, len(node)]
             pairs: list[tuple[int, int]] = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                sets = [np.frombuffer(s.as_py(), np.uint32) for s in batch.column("half").slice(a, b - a)]
+                sets = [np.frombuffer(s.as_py(), np.uint32) for s in batch.column("shingles").slice(a, b - a)]
                 pairs += [(a + i, a + j) for i, j in _node_links(sets, n[a:b], label[a:b], percent)]
             yield _arrow({"a": pa.array(doc[[i for i, _ in pairs]], pa.int64()), "b": pa.array(doc[[j for _, j in pairs]], pa.int64())})
 
     rows = written(rows, "involved")
-    sets = maybe_among(docs, "doc", rows.select("doc").distinct()).mapInArrow(halves, "doc long, half binary")
-    joined = rows.join(sets, "doc").select("node", "doc", "n", "label", "half")
-    return joined.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long")
+    by_doc = rows.groupBy("doc").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list("node").alias("nodes"))
+    joined = by_doc.join(texts.sets(rows.select("doc"), True), "doc").select("doc", "n", "label", "shingles", "nodes")
+    at_nodes = joined.mapInArrow(spread, "node long, doc long, n long, label long, shingles binary")
+    return at_nodes.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long")
 
 
-def _leader_pairs(large: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _leader_pairs(large: DataFrame, percent: int) -> DataFrame:
     """(first doc of the node, doc) for the rows of larger nodes that resemble it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one = _nibbles(_unbinary(batch.column("sketch"), MINS // 2, np.uint8))
-            two = _nibbles(_sketches(_unbinary(batch.column("mins"), MINS, np.uint32)))
+            one, two = (_nibbles(_unbinary(batch.column(c), MINS // 2, np.uint8)) for c in ("sketch", "sketch_a"))
             yield batch.filter(pa.array((one == two).sum(axis=1) >= LIKE)).select(["a", "b"])
 
-    heads = signed.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), "mins")
-    pairs = large.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"), "n", "sketch")
-    near = pairs.join(heads, "a").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-    return near.select("a", "b", "sketch", "mins").mapInArrow(run, "a long, b long")
+    heads = large.where("doc = leader").select("node", F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    pairs = large.where("doc <> leader").join(heads, "node").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
+    return pairs.select(F.col("leader").alias("a"), F.col("doc").alias("b"), "sketch", "sketch_a").mapInArrow(run, "a long, b long")
 
 
-def _routed(nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of small nodes, and those of larger ones with the node's first doc; documents alone in a node go."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("leader")).where("size > 1")
-    kept = nodes.join(sizes, "node").withColumn("large", F.col("size") > SMALL)
-    kept = written(kept.drop("size"), name)
-    return kept.where("NOT large"), kept.where("large")
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs whose second sketches allow the similarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (_nibbles(_unbinary(batch.column(c), BINS // 2, np.uint8)) for c in ("bins_a", "bins_b"))
+            yield batch.filter(pa.array(_bins_alike(one, two, percent))).select(["a", "b"])
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in "ab":
+        pairs = pairs.join(reps.select(F.col("doc").alias(side), F.col("bins").alias(f"bins_{side}")), side)
+    return pairs.select("a", "b", "bins_a", "bins_b").mapInArrow(run, "a long, b long")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
-            found = [shingle_set(text.as_py(), words).view(np.int64) for text in batch.column("text")]
-            yield _arrow({"doc": batch.column("doc"), "shingles": pa.array(found, pa.list_(pa.int64()))})
 
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def confirmed(pairs: DataFrame, texts: _Texts, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, 256):
+            ok = []
+            for one, two in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (one, two))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
-    wanted = maybe_among(docs, "doc", ids).mapInArrow(sets, "doc long, shingles array<long>")
-    shingles = written(wanted, "shingles")
-    first = pairs.join(shingles.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a")
-    second = first.join(shingles.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return written(second.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "confirmed")
+    shingles = written(texts.sets(ids, False), "shingles")
+    both = pairs
+    for side in "ab":
+        both = both.join(shingles.select(F.col("doc").alias(side), F.col("shingles").alias(f"set_{side}")), side)
+    return written(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document; links have a Jaccard similarity of percent / 100."""
+    with scratch(docs.sparkSession):
+        return written(_near_duplicates(docs, words, percent), "near-duplicates", outlive=True)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     signed = written(signatures(plain, words), "signatures")
-    classes = signed.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc").alias("rep"))
+    classes = signed.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc").alias("doc"), F.first("mins").alias("mins"), F.first("bins").alias("bins"))
     classes = written(classes, "classes")
-    reps = written(signed.join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").where("n > 0").dropDuplicates(["doc"]), "representatives")
-
-    small, large = _routed(_children(reps.select(F.lit(0).cast("long").alias("node"), F.lit(-1).alias("way"), "doc", "n", "mins"), 0), "nodes")
-    met = written(_first_pairs(small, percent), "met")
-    pairs = met.where("node IS NULL").select("a", "b").unionByName(_leader_pairs(large, reps, percent))
-    links = confirmed(pairs, plain, words, percent)
+    repeated = None
+    several = classes.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").select("doc")
+    if not several.isEmpty():
+        repeated = written(classes.join(several, "doc").select("doc", F.xxhash64("doc", "key_a", "key_b").alias("id")), "repeated")
+    named = _class_ids(classes, repeated)
+    reps = named.where("id IS NOT NULL").select(F.col("id").alias("doc"), "n", "mins", "bins")
+    texts = _Texts(plain, words, repeated)
+
+    nodes = _roots(reps)
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("doc").alias("leader")).where("size > 1")
+    nodes = written(nodes.join(sizes, "node").withColumn("large", F.col("size") > SMALL).drop("size"), "nodes")
+    large = nodes.where("large")
+    met = written(_first_pairs(nodes.where("NOT large"), percent), "met")
+    pairs = met.where("node IS NULL").select("a", "b").unionByName(_leader_pairs(large, percent))
+    links = confirmed(_likely(pairs, reps, percent), texts, percent)
     labels = components(links)
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """The rows of nodes that hold several components, with what ``_blocks`` needs; small nodes need no such pass, as they are read together anyway."""
-        named = labelled(rows)
-        return named.join(_shares(named).where("o > 0"), "node")
-
-    columns = ["node", "doc", "n", "sketch", "label"]
-    open_rows = met.where("node IS NOT NULL").select("node", F.col("a").alias("doc"), "n", "sketch")
-    more = [_involved(labelled(open_rows).select(columns), percent)]
-    for level in range(1, DEPTH):
-        large = written(mixed(large.drop("large", "leader")), "mixed")
-        if large.isEmpty():
+    labelled = written(reps.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component"), "labelled")
+    again = met.where("node IS NOT NULL").select("node", F.lit(0).alias("way"), F.col("a").alias("doc"))
+    more = [_involved(_placed(_gathered(again, labelled), _same, percent), percent)]
+    places = large.select("node", "way", "doc")
+    for ways in (_by_size, *map(_branched, range(1, DEPTH))):
+        rows = written(_placed(_gathered(places, labelled), ways, percent), "placed")
+        mixed = rows.join(_shares(rows), "node")
+        near = mixed.where(f"all <= {SMALL} OR o = 1")
+        more.append(_involved(_blocks(near), percent))
+        left = written(mixed.where(f"all > {SMALL} AND o > 1").select("node", "way", "doc"), "large")
+        if left.isEmpty():
             break
-        more.append(_involved(_blocks(large.where("o = 1")).select(columns), percent))
-        large = large.where("o > 1")
-        above = large.select("node", "way", "doc").join(reps.select("doc", "n", "mins"), "doc")
-        small, large = _routed(_children(above, level), "nodes")
-        more.append(_involved(labelled(small).select(columns), percent))
+        places = left
     else:
-        more.append(_involved(_blocks(mixed(large)).select(columns), percent))
-    late = written(_joining_pairs(reduce(DataFrame.unionByName, more), plain, words, percent).distinct(), "late")
+        more.append(_involved(_blocks(mixed.where(f"all > {SMALL} AND o > 1")), percent))
+    late = written(_joining_pairs(reduce(DataFrame.unionByName, more), texts, percent).distinct(), "late")
     if not late.isEmpty():
-        labels = components(links.unionByName(confirmed(late, plain, words, percent)))
+        labels = components(links.unionByName(confirmed(late, texts, percent)))
 
-    of_class = classes.join(labels, classes["rep"] == labels["doc"], "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("component_id"))
+    of_class = named.join(labels, named["id"] == labels["doc"], "left").select(
+        "key_a", "key_b", "n", named["doc"].alias("least"), F.coalesce("component", "id").alias("component")
+    )
+    if repeated is not None:  # component ids are hashes where a doc_id repeats
+        of_class = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("least_of_all")), "component").withColumn("component", F.col("least_of_all"))
+    of_class = of_class.select("key_a", "key_b", "n", F.col("component").alias("component_id"))
     return signed.join(of_class, ["key_a", "key_b", "n"], "left").select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
@@ -451,14 +580,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def _shares(rows: DataFrame) -> DataFrame:
-    """Of each node its commonest label, and the numbers of blocks of its rows and of the other rows."""
+    """Of each node with several labels: all its rows, its commonest label, and the numbers of blocks of that one's rows and of the others."""
     labels = rows.groupBy("node", "label").agg(F.count("*").alias("size"))
     sizes = labels.groupBy("node").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("mains"), F.sum("size").alias("all"))
-    return sizes.select("node", "main", F.ceil(F.col("mains") / BLOCK).cast("int").alias("d"), F.ceil((F.col("all") - F.col("mains")) / BLOCK).cast("int").alias("o"))
+    blocks = [F.ceil(n / BLOCK).cast("int").alias(name) for n, name in ((F.col("mains"), "d"), (F.col("all") - F.col("mains"), "o"))]
+    return sizes.where("all > mains").select("node", "main", "all", *blocks)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """The rows of larger nodes, which have their ``_shares``, as nodes of two blocks each.
+    """The rows of nodes, which have their ``_shares``: small nodes as they are, larger ones as nodes of two blocks each.
 
     Rows of a node's commonest label need no comparison with each other: their blocks meet the blocks of the other rows,
     and those meet one another. With few others, each row is sent about once.
@@ -466,6 +596,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     is_main = F.col("label") == F.col("main")
     own = F.pmod(F.xxhash64("doc", F.lit(1)), F.when(is_main, F.col("d")).otherwise(F.col("o"))).cast("int")
     # Blocks of the others are numbered from 0, those of the commonest label from o on.
-    meets = F.when(is_main, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("o") + F.col("d") - 1))
+    meets = F.when(F.col("all") <= SMALL, F.array(F.lit(0))).when(is_main, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("o") + F.col("d") - 1))
     spread = rows.withColumn("own", own + F.when(is_main, F.col("o")).otherwise(0)).withColumn("other", F.explode(meets))
-    return spread.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).drop("main", "d", "o", "own", "other")
+    block = F.when(F.col("all") <= SMALL, F.col("node")).otherwise(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
+    return spread.withColumn("node", block).drop("main", "all", "d", "o", "own", "other")
