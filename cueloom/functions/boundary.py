@@ -6,12 +6,16 @@ A boundary is described by ``prev`` and ``nxt``, the visible characters around i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.functions import charsets as C
+from cueloom.functions.arrays import codes, visible_before, visible_beside
 
 
 def among(char: Column, chars: str) -> Column:
@@ -153,31 +157,31 @@ def bad_line_edge(group: Column, text: Column, last: Column) -> Column:
     )
 
 
+_BOUNDARY = {"at": pa.int32(), "left": pa.string(), "right": pa.string(), "prev": pa.string(), "nxt": pa.string(), "visible": pa.int32(), "quoted": pa.bool_()}
+
+
 def boundaries(scripts: DataFrame, text: str = "text") -> DataFrame:
     """Every offset 0..n of each script with prev, nxt, left, right, quoted and visible (visible characters before it).
 
-    The characters of a script are exploded once and described by windows over them; one shuffle by script_id.
+    A script's offsets are described together as arrays where the script is, so that characters aren't shuffled or sorted.
     """
-    ws = f"^{C.WS}$"
-    chars = scripts.select("script_id", F.posexplode(F.split(F.concat(F.col(text), F.lit(" ")), "")).alias("at", "right")).where("right <> ''")
-    # The added blank stands for the offset after the last character.
-    order = Window.partitionBy("script_id").orderBy("at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # "The first from here on" is the last so far in reverse: a frame that only grows, where one that shrinks is quadratic.
-    after = Window.partitionBy("script_id").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.when(~F.col("right").rlike(ws), F.col("right"))
-    depth = F.when(among(F.col("right"), C.OPEN_QUOTES), 1).when(among(F.col("right"), C.CLOSE_QUOTES), -1).otherwise(0)
-    sums = chars.select(
-        "script_id",
-        "at",
-        "right",
-        F.coalesce(F.lag("right").over(order), F.lit("")).alias("left"),
-        F.coalesce(F.last(seen, ignorenulls=True).over(before), F.lit("")).alias("prev"),
-        F.coalesce(F.last(seen, ignorenulls=True).over(after), F.lit("")).alias("nxt"),
-        F.coalesce(F.sum(seen.isNotNull().cast("int")).over(before), F.lit(0)).alias("visible"),
-        F.coalesce(F.sum(depth).over(before), F.lit(0)).alias("sum"),
-        F.lead("at").over(order).isNull().alias("end"),
-    )
-    # Unclosed quotes: the running sum over its own lowest value so far, as closing never goes below none.
-    open_ = F.col("sum") - F.least(F.lit(0), F.min("sum").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return sums.withColumn("quoted", open_ > 0).withColumn("right", F.when(F.col("end"), "").otherwise(F.col("right"))).drop("sum", "end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for script_id, value in zip(batch.column("script_id").to_pylist(), batch.column("text"), strict=True):
+                if not value.is_valid:
+                    continue
+                points = codes(value.as_py())
+                n = len(points)
+                own = np.array([*value.as_py(), ""])
+                before, after = visible_beside(points)
+                change = np.concatenate([[0], np.cumsum(np.isin(points, codes(C.OPEN_QUOTES)).astype(int) - np.isin(points, codes(C.CLOSE_QUOTES)))])
+                # Unclosed quotes: the running sum over its own lowest value so far, as closing never goes below none.
+                open_ = change - np.minimum(0, np.minimum.accumulate(change))
+                found = (np.arange(n + 1), own[np.arange(-1, n)], own, own[np.where(before < 0, n, before)], own[after], visible_before(points), open_ > 0)
+                for at in range(0, n + 1, 8192):
+                    part = [pa.array(x[at : at + 8192], kind) for x, kind in zip(found, _BOUNDARY.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([script_id] * len(part[0]), pa.int64()), *part], names=["script_id", *_BOUNDARY])
+
+    plain = scripts.select(F.col("script_id").cast("long").alias("script_id"), F.col(text).cast("string").alias("text"))
+    return plain.mapInArrow(run, "script_id long, at int, left string, right string, prev string, nxt string, visible int, quoted boolean")

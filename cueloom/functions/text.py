@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cueloom.functions.charsets import MARKDOWN_NOISE, NATURAL_ENDS, SENTENCE_ENDS, WS, ZERO_WIDTH, one_of
+from cueloom.functions.charsets import MARKDOWN_NOISE, NATURAL_ENDS, SENTENCE_ENDS, WS, WS_CODES, ZERO_WIDTH, one_of
+
+BLANKS = "".join(map(chr, WS_CODES))
 
 
 def _composed(text: Column) -> Column:
@@ -22,14 +24,17 @@ def _composed(text: Column) -> Column:
 
 
 def nfc(text: Column, compose: bool = True) -> Column:
-    """NFC. Text below U+0300 is composed already and stays in the JVM's hands; ``compose`` False skips the rest too."""
+    """NFC. Text below U+0300 is composed already; ``compose`` False says that all of it is.
+
+    A Python worker gets a row for every row, whatever stands around it, but only text that may need it: null for the rest.
+    """
     if not compose:
         return text
-    return F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), _composed(text)).otherwise(text)
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x{0}-\x{2ff}]"), text)), text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{WS}+", ""), f"{WS}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def without(text: Column, chars: str) -> Column:
@@ -44,8 +49,7 @@ def render_segment(text: Column) -> Column:
 def clean_display(text: Column, compose: bool = True) -> Column:
     """The script as shown: unified line ends, no zero-width characters, NFC, stripped; null where nothing is left."""
     lines = F.regexp_replace(text, "\r\n|\r", "\n")
-    done = strip(nfc(without(lines, ZERO_WIDTH), compose))
-    return F.when(done != "", done)
+    return F.nullif(strip(nfc(without(lines, ZERO_WIDTH), compose)), F.lit(""))
 
 
 def clean_align(display: Column, keep_punctuation: bool = True) -> Column:
@@ -53,8 +57,7 @@ def clean_align(display: Column, keep_punctuation: bool = True) -> Column:
     kept = without(display, MARKDOWN_NOISE)
     if not keep_punctuation:
         kept = F.regexp_replace(kept, r"\p{P}", "")
-    done = render_segment(kept)
-    return F.when(done != "", done)
+    return F.nullif(render_segment(kept), F.lit(""))
 
 
 def normalize_token(text: Column, compose: bool = True) -> Column:

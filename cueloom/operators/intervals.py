@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = 256
+#: Characters per bucket where single offsets look for the few tokens near them.
+NEAR_BUCKET = 16
 
 
 def merge(ranges: DataFrame, start: str, end: str, reach: int, aggregates: Sequence[Column], order: Sequence[str] = (), key: str = "script_id") -> DataFrame:
@@ -76,8 +78,8 @@ def time_at_char(points: DataFrame, tokens: DataFrame, at: str = "char_pos", poi
     t = tokens.where("start_char IS NOT NULL AND end_char IS NOT NULL").select(
         "script_id", F.col("start_char").alias("_a"), F.col("end_char").alias("_b"), F.col("start").alias("_s"), F.col("end").alias("_e")
     )
-    near = _bucketed(t, F.greatest(F.lit(0), F.col("_a") - 3), F.greatest(F.col("_b"), F.col("_a") + 1) + 3, BUCKET)
-    asked = points.withColumn("_bucket", F.floor(F.col(at) / BUCKET))
+    near = _bucketed(t, F.greatest(F.lit(0), F.col("_a") - 3), F.greatest(F.col("_b"), F.col("_a") + 1) + 3, NEAR_BUCKET)
+    asked = points.withColumn("_bucket", F.floor(F.col(at) / NEAR_BUCKET))
     c = F.col(at)
     inside = (F.col("_a") <= c) & (c < F.col("_b"))
     distance = F.when(inside, 0).otherwise(F.least(F.abs(c - F.col("_a")), F.abs(c - F.greatest(F.col("_a"), F.col("_b") - 1))))

@@ -5,10 +5,15 @@ TOKEN rows: script_id, ord, text, start, end, start_char, end_char, confidence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import charsets as C
+from cueloom.functions.arrays import blank, codes, visible_before
 from cueloom.functions.text import next_sentence_boundary, previous_sentence_boundary, visible_len
 from cueloom.functions.timing import nearest_rank
 from cueloom.operators.intervals import highest, merge, union_of
@@ -22,16 +27,27 @@ def _w():
 
 
 def _visible_chars(scripts: DataFrame, text: str = "display_text") -> DataFrame:
-    """A row for each visible character: char_index (offset), ch and place (0, 1, ... among visible ones)."""
-    chars = scripts.select("script_id", F.posexplode(F.split(F.col(text), "")).alias("char_index", "ch")).where(~F.col("ch").rlike(f"^{C.WS}$") & (F.col("ch") != ""))
-    return chars.withColumn("place", F.row_number().over(Window.partitionBy("script_id").orderBy("char_index")) - 1)
+    """A row for each visible character: char_index (offset), ch, place (0, 1, ... among visible ones) and visible (how many there are)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for script_id, value in zip(batch.column("script_id").to_pylist(), batch.column("text"), strict=True):
+                text_ = value.as_py() or ""
+                there = np.flatnonzero(~blank(codes(text_)))
+                for at in range(0, len(there), 8192):
+                    own = there[at : at + 8192]
+                    chars = pa.array([text_[i] for i in own], pa.string())
+                    ids, all_ = pa.array([script_id] * len(own), pa.int64()), pa.array(np.full(len(own), len(there), np.int64))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(own.astype(np.int32)), chars, pa.array(np.arange(at, at + len(own), dtype=np.int32)), all_], names=["script_id", "char_index", "ch", "place", "visible"])
+
+    plain = scripts.select(F.col("script_id").cast("long").alias("script_id"), F.col(text).cast("string").alias("text"))
+    return plain.mapInArrow(run, "script_id long, char_index int, ch string, place int, visible long")
 
 
 def synthetic(scripts: DataFrame) -> DataFrame:
     """One token per visible character of ``display_text``, evenly from start_time to end_time."""
     chars = _visible_chars(scripts).join(scripts.select("script_id", "start_time", "end_time"), "script_id")
-    n = F.count("*").over(Window.partitionBy("script_id"))
-    step = F.greatest(F.lit(0.1), F.col("end_time") - F.col("start_time")) / n
+    step = F.greatest(F.lit(0.1), F.col("end_time") - F.col("start_time")) / F.col("visible")
     return chars.select(
         "script_id",
         F.col("place").alias("ord"),
@@ -84,56 +100,73 @@ def align_map(scripts: DataFrame, text: str = "display_text") -> DataFrame:
     return kept.select("script_id", (F.row_number().over(w) - 1).alias("align_pos"), F.when(F.col("blank"), " ").otherwise(F.col("ch")).alias("ch"), "at")
 
 
-def visible_offsets(scripts: DataFrame) -> DataFrame:
-    """(script_id, at, visible): the visible characters before each offset 0..n of ``display_text``."""
-    chars = scripts.select("script_id", F.posexplode(F.split(F.concat(F.col("display_text"), F.lit(" ")), "")).alias("at", "ch")).where("ch <> ''")
-    before = Window.partitionBy("script_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return chars.select("script_id", "at", F.coalesce(F.sum((~F.col("ch").rlike(f"^{C.WS}$")).cast("int")).over(before), F.lit(0)).alias("visible"))
-
-
-def _mapped(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
-    """Mapped tokens with their script's columns, and the visible characters before both of their ends and in all.
-
-    Counts come from one table of offsets by equi-joins, so that no token cuts a piece out of a whole script.
-    """
-    size = F.length("display_text")
-    own = scripts.select(*[c for c in scripts.columns if c != "display_text"], size.alias("text_length"), visible_len(F.col("display_text")).alias("vis_total"))
-    own = own.repartition("script_id")  # an exchange, so that a script's expressions are not evaluated again for each token
-    offsets = visible_offsets(scripts)
-    t = tokens.where("start_char IS NOT NULL AND end_char IS NOT NULL").join(own, "script_id")
-    t = t.withColumn("_a", F.least("start_char", "text_length")).withColumn("_b", F.least("end_char", "text_length"))
-    first = offsets.select("script_id", F.col("at").alias("_a"), F.col("visible").alias("vis_start"))
-    last = offsets.select("script_id", F.col("at").alias("_b"), F.col("visible").alias("vis_end"))
-    return t.join(first, ["script_id", "_a"]).join(last, ["script_id", "_b"]).drop("_a", "_b")
-
-
 def _span(text: str, start: Column, end: Column) -> Column:
     return visible_len(F.substring(F.col(text), start + 1, F.greatest(end - start, F.lit(0))))
 
 
+STEP = {
+    "script_id": pa.int64(), "ord": pa.int64(), "place": pa.int32(), "start": pa.float64(), "end": pa.float64(), "start_char": pa.int32(), "end_char": pa.int32(), "confidence": pa.float64(),
+    "vis_start": pa.int32(), "vis_end": pa.int32(), "vis_total": pa.int32(), "text_length": pa.int32(), "audio_duration": pa.float64(), "prev_end_char": pa.int32(),
+    "step_chars": pa.int32(), "step_seconds": pa.float64(), "reversal": pa.bool_(), "jump": pa.bool_(), "spike": pa.bool_(),
+}
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.bool_(): "boolean"}
+
+
 def steps(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
-    """Mapped tokens with their step from the one before: visible chars, seconds, cps, and which rules they break."""
-    t = _mapped(tokens, scripts)
-    seconds = F.col("start") - F.greatest("prev_end", "prev_start")
-    cps = F.col("step_chars") / F.greatest(F.col("step_seconds"), F.lit(0.02))
-    return (
-        t.withColumn("prev_end_char", F.lag("end_char").over(_w()))
-        .withColumn("prev_start", F.lag("start").over(_w()))
-        .withColumn("prev_end", F.lag("end").over(_w()))
-        .withColumn("place", F.row_number().over(_w()))
-        .withColumn("step_chars", F.greatest(F.lit(0), F.col("vis_end") - F.lag("vis_end").over(_w())))
-        .withColumn("step_chars", F.when(F.col("prev_end_char").isNotNull(), F.col("step_chars")))
-        .withColumn("step_seconds", seconds)
-        .withColumn("step_cps", cps)
-        .withColumn("reversal", (F.col("start") < F.col("prev_start") - 0.12) | (F.col("end") < F.col("prev_end") - 0.12))
-        .withColumn("jump", (F.col("step_chars") > 0) & (F.col("step_seconds") > 6.0) & ((F.col("step_chars") <= 24) | (F.col("step_cps") < 1.25)))
-        .withColumn("spike", (F.col("step_chars") >= 8) & (F.col("step_cps") > F.greatest(F.col("max_cps") * 2.8, F.lit(28.0))))
-    )
+    """Mapped tokens in order with their step from the one before: visible chars, seconds, and which rules they break.
+
+    A script's tokens meet its text once, as arrays, and come back as rows: no row for each character, and no window. The first token's
+    step is null and breaks no rule.
+    """
+    fields = ("start_char", "end_char", "start", "ord", "end", "confidence")
+    there = tokens.where("start_char IS NOT NULL AND end_char IS NOT NULL")
+    gathered = there.groupBy("script_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("t")).select("script_id", *[F.col(f"t.{c}").alias(c) for c in fields])
+    duration = "audio_duration" if "audio_duration" in scripts.columns else F.lit(None).cast("double").alias("audio_duration")
+    joined = gathered.join(scripts.select("script_id", "display_text", "max_cps", duration), "script_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                one = batch.slice(r, 1)
+                own = {c: one.column(c)[0].values.to_numpy(zero_copy_only=False) for c in fields}
+                text, cps = one.column("display_text")[0].as_py(), one.column("max_cps")[0].as_py()
+                seen = visible_before(codes(text))
+                a, b = (np.minimum(own[c], len(text)) for c in ("start_char", "end_char"))
+                start, end, n = own["start"], own["end"], len(a)
+                chars = np.maximum(0, np.diff(seen[b]))
+                seconds = start[1:] - np.maximum(end[:-1], start[:-1])
+                speed = chars / np.maximum(seconds, 0.02)
+                first = np.arange(n) == 0
+                later = lambda x, fill=0: np.append(np.array([fill], dtype=x.dtype), x)
+                columns = {
+                    "script_id": np.full(n, one.column("script_id")[0].as_py()), "place": np.arange(1, n + 1), **own,
+                    "vis_start": seen[a], "vis_end": seen[b], "vis_total": np.full(n, seen[-1]), "text_length": np.full(n, len(text)),
+                    "reversal": later((start[1:] < start[:-1] - 0.12) | (end[1:] < end[:-1] - 0.12)),
+                    "jump": later((chars > 0) & (seconds > 6.0) & ((chars <= 24) | (speed < 1.25))),
+                    "spike": later((chars >= 8) & (speed > max(cps * 2.8, 28.0))),
+                }
+                only_later = {"prev_end_char": later(own["end_char"][:-1]), "step_chars": later(chars), "step_seconds": later(seconds)}
+                for at in range(0, n, 8192):
+                    cut = slice(at, at + 8192)
+                    whole = {c: pa.array(x[cut], STEP[c], from_pandas=c == "confidence") for c, x in columns.items()}
+                    whole |= {c: pa.array(x[cut], STEP[c], mask=first[cut]) for c, x in only_later.items()}
+                    whole["audio_duration"] = pa.array([one.column("audio_duration")[0].as_py()] * len(whole["place"]), pa.float64())
+                    yield pa.RecordBatch.from_arrays([whole[c] for c in STEP], names=list(STEP))
+
+    return joined.mapInArrow(run, ", ".join(f"{c} {_DDL[kind]}" for c, kind in STEP.items()))
+
+
+def _advancing(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
+    """The steps that go on in the script, by script: what suspects are found in."""
+    return steps(tokens, scripts).where("end_char > prev_end_char")
 
 
 def anomalies(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
     """Raw suspect spans of pairs of tokens: reversals, jumps, spikes. Pairs that don't advance are passed over."""
-    s = steps(tokens, scripts).where("end_char > prev_end_char")
+    return _anomalies(_advancing(tokens, scripts))
+
+
+def _anomalies(s: DataFrame) -> DataFrame:
     reason = F.when(F.col("reversal"), "time_reversal").when(F.col("jump"), "timestamp_jump").when(F.col("spike"), "cps_spike")
     start = F.when(F.col("reversal"), F.greatest(F.lit(0), F.col("prev_end_char") - 1)).otherwise(F.col("prev_end_char"))
     found = s.withColumn("reason", reason).where("reason IS NOT NULL")
@@ -142,7 +175,10 @@ def anomalies(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
 
 def runs(tokens: DataFrame, scripts: DataFrame, kind: str) -> DataFrame:
     """Runs of "low_confidence_run" or "zero_duration_run" tokens that are long enough; the first token of a script is in none."""
-    s = steps(tokens, scripts).where("end_char > prev_end_char")
+    return _runs(_advancing(tokens, scripts), kind)
+
+
+def _runs(s: DataFrame, kind: str) -> DataFrame:
     test, least = {
         "low_confidence_run": (F.coalesce(F.col("confidence") < LOW_CONFIDENCE, F.lit(False)), 18),
         "zero_duration_run": (F.greatest(F.lit(0.0), F.col("end") - F.col("start")) <= ZERO_SECONDS, 20),
@@ -154,29 +190,25 @@ def runs(tokens: DataFrame, scripts: DataFrame, kind: str) -> DataFrame:
     return spans.where(F.col("size") >= least).select("script_id", "place", "start_char", "end_char", F.lit(kind).alias("reason"), F.lit("medium").alias("severity"))
 
 
+def _collapses() -> Column:
+    """Whether a token starts at the audio's end with 80 or more visible characters left."""
+    return (F.col("start") >= F.col("audio_duration") - 0.5) & (F.col("vis_total") - F.col("vis_start") >= 80)
+
+
 def end_collapse(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
     """The first token that starts at the audio's end with 80 or more visible characters left, and its place."""
-    s = steps(tokens, scripts).where("end_char > prev_end_char")
-    rest = F.col("vis_total") - F.col("vis_start")
-    late = s.where((F.col("start") >= F.col("audio_duration") - 0.5) & (rest >= 80))
+    late = _advancing(tokens, scripts).where(_collapses())
     first = late.groupBy("script_id").agg(F.min_by(F.struct("place", "start_char", F.col("text_length").alias("end_char")), "place").alias("f"))
     return first.select("script_id", "f.place", "f.start_char", "f.end_char", F.lit("end_collapse").alias("reason"), F.lit("high").alias("severity"))
 
 
 def raw_suspects(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
-    """All raw suspect spans; nothing that begins after an end collapse."""
-    stop = end_collapse(tokens, scripts)
-    limits = stop.select("script_id", F.col("place").alias("stop"))
-    seen = tokens.join(scripts.select("script_id"), "script_id", "left_semi")
-    found = anomalies(seen, scripts).unionByName(runs_until(seen, scripts, limits, "low_confidence_run")).unionByName(runs_until(seen, scripts, limits, "zero_duration_run"))
-    return found.join(limits, "script_id", "left").where("stop IS NULL OR place <= stop").drop("stop").unionByName(stop)
-
-
-def runs_until(tokens: DataFrame, scripts: DataFrame, limits: DataFrame, kind: str) -> DataFrame:
-    """Runs over the tokens up to each script's stopping place."""
-    placed = tokens.where("start_char IS NOT NULL AND end_char IS NOT NULL").withColumn("_place", F.row_number().over(_w()))
-    kept = placed.join(limits, "script_id", "left").where("stop IS NULL OR _place <= stop").drop("_place", "stop")
-    return runs(kept, scripts, kind)
+    """All raw suspect spans; nothing that begins after an end collapse. Every rule reads the same steps, sorted once by script."""
+    w = Window.partitionBy("script_id").orderBy("place")
+    so_far = F.min(F.when(_collapses(), F.col("place"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    seen = _advancing(tokens, scripts).withColumn("stop", so_far).where("stop IS NULL OR place <= stop")
+    collapse = seen.where("place = stop").select("script_id", "place", "start_char", F.col("text_length").alias("end_char"), F.lit("end_collapse").alias("reason"), F.lit("high").alias("severity"))
+    return _anomalies(seen).unionByName(_runs(seen, "low_confidence_run")).unionByName(_runs(seen, "zero_duration_run")).unionByName(collapse)
 
 
 def suspects(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
@@ -219,7 +251,7 @@ def diagnostics(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
     # Coverage: merged spans count each position once.
     total = F.max("vis_total").alias("total")
     spans = merge(
-        _mapped(tokens, scripts).withColumn("from_char", F.col("start_char")), "from_char", "end_char", 0,
+        s.withColumn("from_char", F.col("start_char")), "from_char", "end_char", 0,
         [(F.max("vis_end") - F.min("vis_start")).alias("seen"), total], ["end_char"],
     )
     covered = spans.groupBy("script_id").agg((F.sum("seen") / F.greatest(F.lit(1), F.max("total"))).alias("text_coverage_ratio"))

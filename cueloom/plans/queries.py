@@ -420,16 +420,16 @@ def replaced_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.replace_in_ranges(tokens, ranges, new).groupBy("script_id").agg(F.count("*").alias("kept"), F.sum("ord").cast("long").alias("sum_ord"))
 
 
-_LOCAL = 'local AS (SELECT script_id, ord, start_char, end_char, (seen_start + 400 * (ord // 50 % 5)) / 1000.0::DOUBLE AS start FROM (SELECT *, round_even(start * 1000, 0) AS seen_start FROM tokens) WHERE ord % 5 = 0),'
-_SAMPLES = f"""{_LOCAL} samples AS (SELECT l.script_id, l.ord, l.ord // 50 AS checkpoint, l.start_char, l.end_char,
-        l.start + 0.1::DOUBLE - (t.start + (t."end" - t.start) * ((greatest(l.start_char, least(l.end_char - 1, (l.start_char + l.end_char - 1) // 2)) + 0.5::DOUBLE - t.start_char) / (t.end_char - t.start_char))) AS signed_drift FROM local l JOIN tokens t USING (script_id, ord)),"""
+_SAMPLES = """samples AS (SELECT script_id, ord, ord // 50 AS checkpoint, start_char, end_char,
+        (round_even(start * 1000, 0) + 400 * (ord // 50 % 5)) / 1000.0::DOUBLE + 0.1::DOUBLE
+        - (start + ("end" - start) * ((greatest(start_char, least(end_char - 1, (start_char + end_char - 1) // 2)) + 0.5::DOUBLE - start_char) / (end_char - start_char))) AS signed_drift FROM tokens),"""
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift of every fifth word's second timing, late by a rule, against the timeline."""
+    """Drift of every word's second timing, late by a rule, against the timeline."""
     tokens = _tokens(spark, sf_dir)
     late = (F.bround(F.col("start") * 1000, 0) + 400 * F.pmod(F.floor(F.col("ord") / 50), F.lit(5))) / 1000.0
-    local = tokens.where("ord % 5 = 0").withColumn("start", late).withColumn("end", F.col("start") + 0.2).withColumn("checkpoint", F.floor(F.col("ord") / 50))
+    local = tokens.withColumn("start", late).withColumn("end", F.col("start") + 0.2).withColumn("checkpoint", F.floor(F.col("ord") / 50))
     return iv.drift_samples(local.select("script_id", "ord", "start", "end", "start_char", "end_char", "checkpoint"), tokens)
 
 

@@ -13,6 +13,8 @@ from functools import cached_property
 import numpy as np
 
 from cueloom.functions import charsets as C
+from cueloom.functions.arrays import blank, visible_before, visible_beside
+from cueloom.functions.arrays import codes as codes_of
 from cueloom.functions.profiles import language_group
 
 
@@ -65,12 +67,8 @@ class Cue:
         return moved
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-
-
 def _among(codes: np.ndarray, chars: str) -> np.ndarray:
-    return np.isin(codes, _codes(chars))
+    return np.isin(codes, codes_of(chars))
 
 
 def _within(codes: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
@@ -87,12 +85,9 @@ class Script:
 
     def __init__(self, text: str, language: str):
         self.text, self.language, self.group, self.n = text, language, language_group(language), len(text)
-        codes = _codes(text)
-        blank = np.isin(codes, C.WS_CODES)
-        self.visible = np.concatenate([[0], np.cumsum(~blank)])
-        index = np.arange(self.n)
-        before = np.concatenate([[-1], np.maximum.accumulate(np.where(blank, -1, index))]) if self.n else np.array([-1])
-        after = np.concatenate([np.minimum.accumulate(np.where(blank, self.n, index)[::-1])[::-1], [self.n]]) if self.n else np.array([0])
+        codes = codes_of(text)
+        self.visible = visible_before(codes)
+        before, after = visible_beside(codes)
         padded = np.concatenate([codes, [0]])
         self.before = before
         self.prev = np.where(before >= 0, padded[before], 0)
@@ -100,7 +95,7 @@ class Script:
         left = np.concatenate([[0], codes])
         right = padded
         self.edge = (self.prev == 0) | (self.nxt == 0)
-        space = np.isin(left, C.WS_CODES) | np.isin(right, C.WS_CODES)
+        space = blank(left) | blank(right)
         change = np.concatenate([[0], np.cumsum(_among(codes, C.OPEN_QUOTES).astype(int) - _among(codes, C.CLOSE_QUOTES))])
         quoted = change - np.minimum(0, np.minimum.accumulate(change)) > 0
         self._describe(left, right, space, quoted)
@@ -172,7 +167,7 @@ class Script:
 
     @cached_property
     def _sentence_ends(self) -> np.ndarray:
-        return np.flatnonzero(_among(_codes(self.text), C.SENTENCE_ENDS)) + 1
+        return np.flatnonzero(_among(codes_of(self.text), C.SENTENCE_ENDS)) + 1
 
     def sentence_before(self, at: int, limit: int) -> int:
         lower = max(0, at - limit)
@@ -193,7 +188,7 @@ class Script:
     @cached_property
     def _last_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each offset the last word character before it, where its word begins, and whether the word up to there is an English edge word."""
-        codes = _codes(self.text)
+        codes = codes_of(self.text)
         folded = np.where((codes >= 65) & (codes <= 90), codes + 32, codes)
         word = ((folded >= 97) & (folded <= 122)) | (codes == ord("'"))
         index = np.arange(self.n)
@@ -217,7 +212,7 @@ class Script:
                 bad[i] = self.text[a : last[i] + 1].lower() in C.EN_EDGES
             return bad
         edges = {"ja": C.JA_EDGES, "cjk": C.ZH_EDGES + C.OPEN_QUOTES + C.STRAIGHT_QUOTES, "ko": C.OPEN_QUOTES + C.STRAIGHT_QUOTES}[self.group]
-        return (self.before[at] >= a) & np.isin(self.prev[at], _codes(edges))
+        return (self.before[at] >= a) & np.isin(self.prev[at], codes_of(edges))
 
     @cached_property
     def pause_worth(self) -> np.ndarray:

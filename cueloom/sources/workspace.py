@@ -5,7 +5,7 @@ lost executor loses nothing that was written there. Only where the setting is ab
 the warehouse is taken, which must be shared too on a cluster.
 
 Tables that only an operator's own steps read are deleted when it leaves its ``scratch``; what its result reads is written with
-``outlive`` and stays until the cluster clears the folder.
+``outlive``: it goes with the scratch around that one, and without one it stays until the cluster clears the folder.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_open: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,10 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str, outlive: bool = False) -> str:
-    """A path for a new table, which goes with the scratch that is open unless it is to ``outlive`` it."""
+    """A path for a new table, which goes with the scratch that is open, or with the one around that if it is to ``outlive`` it."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if (paths := _open.get()) is not None and not outlive:
-        paths.append(path)
+    around = _open.get()[: -1 if outlive else None]
+    if around:
+        around[-1].append(path)
     return path
 
 
@@ -49,7 +50,7 @@ def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Within it, tables are recorded when they are written, and deleted at its end."""
     paths: list[str] = []
-    token = _open.set(paths)
+    token = _open.set((*_open.get(), paths))
     try:
         yield
     finally:
