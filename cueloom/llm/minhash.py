@@ -4,8 +4,7 @@ A document's set holds its distinct word shingles. Documents with equal sets for
 under its smallest doc_id. ``TREES`` independent trees branch documents by minwise tokens: the way through a tree is a sequence of
 hash functions, a node holds the documents that have the same minwise tokens along its way, and a node is branched
 on while it holds more than ``SMALL`` documents. Every node has ``FORK`` ways on, each by a hash function that the way
-to it has not used, so that a pair at the threshold keeps meeting. Before its first branching a larger node is cut by set size into
-overlapping ranges: sets whose sizes allow the similarity share a range, so that this loses no pair. Nodes of at most SMALL
+to it has not used, so that a pair at the threshold keeps meeting. Nodes of at most SMALL
 documents are compared exhaustively by sketches, and pairs that can be similar enough are confirmed on their full sets.
 
 A document has two sketches: 4 bits of each of its MINS minwise tokens, and 4 bits of the least shingle in each of ``BINS``
@@ -22,7 +21,8 @@ Larger nodes with at most BLOCK documents outside their commonest component, and
 ``DEPTH`` levels, are compared exhaustively in blocks of BLOCK documents.
 
 From the first branching on a document is one row with the list of its nodes (bounded by the number of ways), wherever it is
-joined with what belongs to it (minwise tokens, sketch, component, set); the rows for its nodes are made after the join.
+joined with what belongs to it (minwise tokens, sketch, component, set); the rows for its nodes are made after the join. Levels are
+written as rows of numbers; sketches travel once, to the nodes that are compared.
 
 A pair of similarity 0.8 stays together in one tree with probability 0.80 at depth 1, 0.77 at depth 2, 0.75 at depth 6
 (a depth is a number of tokens that must be equal). The trees share the MINS tokens and are not independent: drawn over
@@ -44,18 +44,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.components import components
+from cueloom.llm.components import components, joined_by
 from cueloom.llm.filters import maybe_among
 from cueloom.sources.workspace import scratch, written
 
 TREES = 12
 FORK = 2
 DEPTH = 6
-SMALL = 64
-BLOCK = 128
+SMALL = 512
+BLOCK = 512
 MINS = 64
 #: Equal tokens of 64 that a pair's sketches need: 52 are expected at similarity 0.8, with a deviation of 3.1.
 LIKE = 36
@@ -168,9 +168,10 @@ def _plan_ways() -> list[list[tuple[int, int, int]]]:
 
 
 WAYS = _plan_ways()
-SIGNED = "doc long, n long, key_a long, key_b long, mins binary, bins binary"
+SIGNED = "doc long, text_hash long, n long, key_a long, key_b long, mins binary, bins binary"
 NODE = "node long, way int, doc long, n long, sketch binary"
-PLACED = NODE + ", bins binary, label long"
+PLACED = "node long, way int, doc long, label long"
+COMPARED = "node long, doc long, n long, sketch binary, bins binary, label long"
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << _U64(56)
 
 
@@ -211,6 +212,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             mins = [minwise(s) if len(s) else np.zeros(MINS, np.uint32) for s in sets]
             yield _arrow({
                 "doc": batch.column("doc"),
+                "text_hash": batch.column("text_hash"),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "key_a": pa.array([k[0] for k in keys], pa.int64()),
                 "key_b": pa.array([k[1] for k in keys], pa.int64()),
@@ -245,59 +247,53 @@ def _roots(reps: DataFrame) -> DataFrame:
     return reps.select("doc", "n", "mins").mapInArrow(run, NODE)
 
 
-def _gathered(places: DataFrame, named: DataFrame) -> DataFrame:
-    """One row for each document of ``places`` (node, way, doc): what ``named`` has of it, and its nodes as ``at``."""
-    return places.groupBy("doc").agg(F.collect_list(F.struct("node", "way")).alias("at")).join(named, "doc")
+def _gathered(places: DataFrame, labelled: DataFrame) -> DataFrame:
+    """One row for each document of ``places`` (node, way, doc): what ``labelled`` has of it, and its nodes as ``at``."""
+    return places.groupBy("doc").agg(F.collect_list(F.struct("node", "way")).alias("at")).join(labelled, "doc")
 
 
-def _same(node: np.ndarray, way: np.ndarray, n: np.ndarray, mins: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, their nodes, their ways): the nodes themselves."""
-    yield np.arange(len(node)), node, way
+def _spread(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, node and way of each element of the column ``at``."""
+    at = batch.column("at")
+    flat = at.flatten()
+    return np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy())), flat.field("node").to_numpy(), flat.field("way").to_numpy()
 
 
-def _by_size(node: np.ndarray, way: np.ndarray, n: np.ndarray, mins: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Two overlapping ranges of set sizes; sizes that allow the similarity share one."""
-    step = np.floor(np.log(n) / (np.log(100 / percent) * (1 + 1e-9))).astype(np.int64)
-    for down in (0, 1):
-        yield np.arange(len(node)), mix(node ^ mix((step + 1 - down).astype(np.uint64) + _U64(1 << 40))), way
-
-
-def _branched(level: int):
-    """The ways of ``level`` that lead on from the nodes of the level above."""
+def _children(gathered: DataFrame, level: int) -> DataFrame:
+    """The rows (PLACED) for the nodes of ``level`` to which those of ``gathered`` lead on."""
     by_parent: dict[int, list[tuple[int, int]]] = {}
     for way, parent, c in WAYS[level]:
         by_parent.setdefault(parent, []).append((way, c))
 
-    def ways(node: np.ndarray, above: np.ndarray, n: np.ndarray, mins: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for parent in np.unique(above):
-            at = np.flatnonzero(above == parent)
-            for way, c in by_parent[int(parent)]:
-                yield at, mix(mix(node[at] + _U64((level << 32) + way + 1)) + mins[at, c]), np.full(len(at), way, np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, 128):
+            of, node, above = _spread(batch)
+            node = node.view(np.uint64)
+            mins = _unbinary(batch.column("mins"), MINS, np.uint32)
+            nodes, ways, rows = [], [], []
+            for parent in np.unique(above):
+                at = np.flatnonzero(above == parent)
+                for way, c in by_parent[int(parent)]:
+                    nodes.append(mix(mix(node[at] + _U64((level << 32) + way + 1)) + mins[of[at], c]))
+                    ways.append(np.full(len(at), way, np.int32))
+                    rows.append(of[at])
+            if rows:
+                own = pa.array(np.concatenate(rows))
+                yield _arrow({"node": pa.array(np.concatenate(nodes).view(np.int64)), "way": pa.array(np.concatenate(ways)), "doc": batch.column("doc").take(own), "label": batch.column("label").take(own)})
 
-    return ways
+    return gathered.select("doc", "mins", "label", "at").mapInArrow(run, PLACED)
 
 
-def _placed(gathered: DataFrame, ways, percent: int) -> DataFrame:
-    """The rows (PLACED) for the nodes to which ``ways`` leads from those of ``gathered``."""
+def _compared(gathered: DataFrame) -> DataFrame:
+    """A row (COMPARED) with both sketches for each node of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, 128):
-            at = batch.column("at")
-            of = np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy()))
-            flat = at.flatten()
-            node, way = flat.field("node").to_numpy().view(np.uint64), flat.field("way").to_numpy()
-            mins = _unbinary(batch.column("mins"), MINS, np.uint32)
-            sketch = _binary(_sketches(mins))
-            parts = list(ways(node, way, batch.column("n").to_numpy()[of], mins[of], percent))
-            if parts:
-                rows, to, by = (np.concatenate(p) for p in zip(*parts, strict=True))
-                own = pa.array(of[rows])
-                yield _arrow({
-                    "node": pa.array(to.view(np.int64)), "way": pa.array(by.astype(np.int32)), "doc": batch.column("doc").take(own), "n": batch.column("n").take(own),
-                    "sketch": sketch.take(own), "bins": batch.column("bins").take(own), "label": batch.column("label").take(own),
-                })
+            of, node, _ = _spread(batch)
+            own, sketch = pa.array(of), _binary(_sketches(_unbinary(batch.column("mins"), MINS, np.uint32)))
+            yield _arrow({"node": pa.array(node), **{c: batch.column(c).take(own) for c in ("doc", "n")}, "sketch": sketch.take(own), **{c: batch.column(c).take(own) for c in ("bins", "label")}})
 
-    return gathered.select("doc", "n", "mins", "bins", "label", "at").mapInArrow(run, PLACED)
+    return gathered.select("doc", "n", "mins", "bins", "label", "at").mapInArrow(run, COMPARED)
 
 
 def _by_node(batches: Iterator[pa.RecordBatch], key: str = "node") -> Iterator[pa.RecordBatch]:
@@ -369,7 +365,7 @@ def _first_pairs(leaves: DataFrame, percent: int) -> DataFrame:
 
 
 def _involved(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows (node, doc, n, label) of ``rows`` (PLACED) that resemble a row of their node with another label."""
+    """The rows (node, doc, n, label) of ``rows`` (COMPARED) that resemble a row of their node with another label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
@@ -518,14 +514,23 @@ def confirmed(pairs: DataFrame, texts: _Texts, percent: int) -> DataFrame:
     return written(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "confirmed")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document; links have a Jaccard similarity of percent / 100."""
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, with_text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each document; links have a Jaccard similarity of percent / 100.
+
+    With ``with_text_hash`` a column text_hash follows, which tells the rows of a repeated doc_id apart.
+    """
     with scratch(docs.sparkSession):
-        return written(_near_duplicates(docs, words, percent), "near-duplicates", outlive=True)
+        found = _near_duplicates(docs, words, percent)
+        return written(found if with_text_hash else found.drop("text_hash"), "near-duplicates", outlive=True)
 
 
 def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc"), text.alias("text"), text_hash(text).alias("text_hash"))
     signed = written(signatures(plain, words), "signatures")
     classes = signed.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc").alias("doc"), F.first("mins").alias("mins"), F.first("bins").alias("bins"))
     classes = written(classes, "classes")
@@ -547,23 +552,20 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     labels = components(links)
 
     labelled = written(reps.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component"), "labelled")
-    again = met.where("node IS NOT NULL").select("node", F.lit(0).alias("way"), F.col("a").alias("doc"))
-    more = [_involved(_placed(_gathered(again, labelled), _same, percent), percent)]
-    places = large.select("node", "way", "doc")
-    for ways in (_by_size, *map(_branched, range(1, DEPTH))):
-        rows = written(_placed(_gathered(places, labelled), ways, percent), "placed")
-        mixed = rows.join(_shares(rows), "node")
-        near = mixed.where(f"all <= {SMALL} OR o = 1")
-        more.append(_involved(_blocks(near), percent))
-        left = written(mixed.where(f"all > {SMALL} AND o > 1").select("node", "way", "doc"), "large")
-        if left.isEmpty():
+    meeting = [met.where("node IS NOT NULL").select("node", F.col("a").alias("doc"))]
+    places = large.select("node", "way", "doc").join(labelled.select("doc", "label"), "doc")
+    for level in range(1, DEPTH + 1):
+        mixed = places.join(_shares(places), "node")
+        meeting.append(_blocks(mixed.where(f"all <= {SMALL} OR o = 1 OR {level} = {DEPTH}")))
+        further = written(mixed.where(f"all > {SMALL} AND o > 1 AND {level} < {DEPTH}").select("node", "way", "doc"), "large")
+        if further.isEmpty():
             break
-        places = left
-    else:
-        more.append(_involved(_blocks(mixed.where(f"all > {SMALL} AND o > 1")), percent))
-    late = written(_joining_pairs(reduce(DataFrame.unionByName, more), texts, percent).distinct(), "late")
+        places = written(_children(_gathered(further, labelled), level), "placed")
+    met_again = reduce(DataFrame.unionByName, meeting).withColumn("way", F.lit(0))
+    involved = _involved(_compared(_gathered(met_again, labelled)), percent)
+    late = written(_joining_pairs(involved, texts, percent).distinct(), "late")
     if not late.isEmpty():
-        labels = components(links.unionByName(confirmed(late, texts, percent)))
+        labels = joined_by(labels, confirmed(late, texts, percent))
 
     of_class = named.join(labels, named["id"] == labels["doc"], "left").select(
         "key_a", "key_b", "n", named["doc"].alias("least"), F.coalesce("component", "id").alias("component")
@@ -576,6 +578,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc").alias("component_id"),
         F.col("doc").eqNullSafe(F.coalesce("component_id", "doc")).alias("kept"),
+        "text_hash",
     )
 
 
@@ -588,7 +591,7 @@ def _shares(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """The rows of nodes, which have their ``_shares``: small nodes as they are, larger ones as nodes of two blocks each.
+    """(node, doc) for the rows of nodes, which have their ``_shares``: small nodes as they are, larger ones as nodes of two blocks each.
 
     Rows of a node's commonest label need no comparison with each other: their blocks meet the blocks of the other rows,
     and those meet one another. With few others, each row is sent about once.
@@ -599,4 +602,4 @@ def _blocks(rows: DataFrame) -> DataFrame:
     meets = F.when(F.col("all") <= SMALL, F.array(F.lit(0))).when(is_main, F.sequence(F.lit(0), F.col("o") - 1)).otherwise(F.sequence(F.lit(0), F.col("o") + F.col("d") - 1))
     spread = rows.withColumn("own", own + F.when(is_main, F.col("o")).otherwise(0)).withColumn("other", F.explode(meets))
     block = F.when(F.col("all") <= SMALL, F.col("node")).otherwise(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")))
-    return spread.withColumn("node", block).drop("main", "all", "d", "o", "own", "other")
+    return spread.select(block.alias("node"), "doc")

@@ -106,3 +106,37 @@ def test_nodes_with_few_strangers_are_compared_whole(spark, monkeypatch):
     texts = family(rng, 60, 50, 6) + family(rng, 12, 50, 20) + ["common words here " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(12)) for _ in range(40)]
     found = minhash.near_duplicates(plain(spark, texts), words=2)
     assert {tuple(r) for r in found.collect()} == brute(texts, 2)
+
+
+def test_repeated_ids_with_other_texts_keep_their_own_links(spark):
+    rng = random.Random(12)
+    one, two = family(rng, 3, 120, 3), family(rng, 3, 120, 3)
+    rows = [(9, one[0], "en"), (9, two[0], "en"), (3, one[1], "en"), (4, two[1], "en"), (None, one[0], "en"), (None, "a text of no one else", "en"), (7, "a text of its own", "en")]
+    found = minhash.near_duplicates(docs(spark, rows), words=2, with_text_hash=True).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [(0, 0, True), (0, 3, False), (3, 3, True), (4, 4, True), (7, 7, True), (9, 3, False), (9, 4, False)]
+    assert len({r["text_hash"] for r in found}) == 6
+
+
+def test_second_sketches_let_similar_pairs_through():
+    rng = np.random.default_rng(5)
+    missed = passed = 0
+    for n in (3, 10, 40, 300, 3000) * 40:
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        own = [np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n // 8, dtype=np.uint64)])) for _ in range(2)]
+        far = np.unique(np.concatenate([both[: n // 2], rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)]))
+        a, b, c = (minhash._nibbles(minhash.least_in_bins(s)[None]) for s in (*own, far))
+        missed += not minhash._bins_alike(a, b, 80)[0]
+        passed += n >= 300 and bool(minhash._bins_alike(a, c, 80)[0])
+    assert missed == 0 and passed <= 1
+
+
+def test_tables_of_the_steps_are_deleted(spark, tmp_path):
+    from cueloom.sources import workspace
+
+    folder = workspace.shared_folder(spark)
+    import os
+
+    before = set(os.listdir(folder.removeprefix("file:"))) if os.path.isdir(folder.removeprefix("file:")) else set()
+    found = minhash.near_duplicates(plain(spark, ["a b c d e", "a b c d e f", "x"]), words=2)
+    new = set(os.listdir(folder.removeprefix("file:"))) - before
+    assert found.count() == 3 and len(new) == 1 and next(iter(new)).startswith("near-duplicates")
