@@ -1,8 +1,8 @@
 """Language identification by compression with per-language zstandard raw-content dictionaries.
 
 Learning takes a bounded sample: of each language the ``SAMPLE_DOCS`` labelled documents that come first by a hash
-of doc_id, lower-cased and joined to a dictionary of ``DICTIONARY_BYTES``; ``MAX_LANGUAGES`` languages at most (more
-raise an error). Counts of labelled documents are taken over all rows; they settle ties and tell which rows are
+of doc_id, lower-cased and joined to a dictionary of ``DICTIONARY_BYTES``; the ``MAX_LANGUAGES`` commonest languages are
+learned, which bounds what a worker holds. Counts of labelled documents are taken over all rows; they settle ties and tell which rows are
 candidates for the sample, so that no task sends on more than its share.
 
 A prediction lower-cases the whole text, cuts it into blocks of ``BLOCK_BYTES`` (so that a long text keeps leaning
@@ -52,11 +52,10 @@ def held_out(doc_id: Column) -> Column:
 def learn(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """(language, dictionary content) by falling number of labelled documents, from (doc_id, text, lang) rows."""
     usable = labelled.where("lang IS NOT NULL AND trim(text) <> ''")
-    counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return []
+    usable = usable.where(F.col("lang").isin([row["lang"] for row in counts]))
     # Candidates are told by a cutoff for each language, so that only about SPARE * SAMPLE_DOCS of each are ranked.
     limits = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], cutoff(SAMPLE_DOCS, row["count"]))])
     near = usable.select("lang", place(F.col("doc_id")).alias("place"), F.substring("text", 1, DICTIONARY_BYTES).alias("text")).where(F.col("place") < F.element_at(limits, F.col("lang")))

@@ -10,8 +10,8 @@ lines that aren't blank (blank lines between them belong to it) is a unit beside
 of a passage of two lines or more that all stood earlier goes, wherever it is cut; of each distinct line the first stays.
 
 Digests with more than one chunk are hits; a second pass sends on the bytes of chunks that can be hits (see
-``filters``), and the smallest and largest bytes of a digest are compared. A digest that stands for different bytes removes
-nothing but what is equal to its smallest: the rest stays, which is the safe side. Occurrences are counted
+``filters``), and the smallest and largest bytes of a digest are compared. Where a digest stands for different bytes, its
+chunks are grouped by the bytes themselves. Occurrences are counted
 pre-aggregated, so that a chunk of very many documents sends one row per task; documents without a removal aren't shuffled.
 
 Defined results: lines end at "\\n". Null text stays null, empty text stays empty; neither loses anything. Rows that repeat a doc_id and its text
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from cueloom.llm.filters import flagged, free_names, maybe_among
-from cueloom.sources.workspace import written
+from cueloom.sources.workspace import scratch, written
 
 WINDOW = 2
 DIVISOR = 3
@@ -76,7 +76,7 @@ def _lines(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def _occurrences(docs: DataFrame, with_bytes: bool, passages: bool) -> DataFrame:
+def _occurrences(docs: DataFrame, with_bytes: bool, passages: bool, digest=xxhash.xxh3_128_digest) -> DataFrame:
     """doc, key, place, digest and, if asked for, the bytes of each removable chunk and, with ``passages``, pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +86,9 @@ def _occurrences(docs: DataFrame, with_bytes: bool, passages: bool) -> DataFrame
                 rows = []
                 for doc, key, text in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
                     lines = _lines(text.as_py())
-                    rows += [(doc, key, a, xxhash.xxh3_128_digest(data), data) for a, _, data in removable(lines)]
+                    rows += [(doc, key, a, digest(data, 0), b"c" + data) for a, _, data in removable(lines)]
                     if passages:
-                        rows += [(doc, key, a + PAIR, xxhash.xxh3_128_digest(data, 1), data) for a, _, data in pairs(lines)]
+                        rows += [(doc, key, a + PAIR, digest(data, 1), b"p" + data) for a, _, data in pairs(lines)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = {"doc": pa.int64(), "key": pa.int64(), "place": pa.int32(), "digest": pa.binary()} | ({"bytes": pa.binary()} if with_bytes else {})
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=False)], names=list(kinds))
@@ -96,23 +96,32 @@ def _occurrences(docs: DataFrame, with_bytes: bool, passages: bool) -> DataFrame
     return docs.mapInArrow(run, "doc long, key long, place int, digest binary" + ", bytes binary" * with_bytes)
 
 
-def repeated_chunks(docs: DataFrame, passages: bool = False) -> DataFrame:
-    """(doc, key, places): the first lines of the chunks, and PAIR + those of the pairs, to remove from each document that loses any."""
+def repeated_chunks(docs: DataFrame, passages: bool = False, digest=xxhash.xxh3_128_digest) -> DataFrame:
+    """(doc, key, places): the first lines of the chunks, and PAIR + those of the pairs, to remove from each document that loses any.
+
+    ``digest`` maps bytes and a seed to bytes; any digest gives the same result, a weak one only makes more bytes be compared.
+    """
+    with scratch(docs.sparkSession):
+        return written(_repeated_chunks(docs, passages, digest), "line-removals", outlive=True)
+
+
+def _repeated_chunks(docs: DataFrame, passages: bool, digest) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
-    met = written(_occurrences(plain, False, passages), "line-chunks")
+    met = written(_occurrences(plain, False, passages, digest), "line-chunks")
     place = F.struct("doc", "key", "place")
     hits = met.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    hits = written(hits, "line-hits")
-    seen = maybe_among(_occurrences(plain, True, passages), "digest", hits.select("digest"))
+    hits = written(hits.select("digest", "first"), "line-hits")
+    seen = maybe_among(_occurrences(plain, True, passages, digest), "digest", hits.select("digest"))
     same = seen.groupBy("digest").agg((F.min("bytes") == F.max("bytes")).alias("same"))
-    hits = hits.join(same, "digest")
-    removed = met.join(hits.where("same").select("digest", "first"), "digest").where(place != F.col("first")).select("doc", "key", "place")
-    mixed = written(hits.where("NOT same").select("digest"), "line-mixed")
+    hits = written(hits.join(same, "digest"), "line-verified")
+    perhaps = maybe_among(met, "digest", hits.where("same").select("digest"))
+    removed = perhaps.join(hits.where("same").select("digest", "first"), "digest").where(place != F.col("first")).select("doc", "key", "place")
+    mixed = hits.where("NOT same").select("digest")
     if not mixed.isEmpty():
         own = seen.join(mixed, "digest", "left_semi")
         first = own.groupBy("digest", "bytes").agg(F.min(place).alias("first"))
         removed = removed.unionByName(own.join(first, ["digest", "bytes"]).where(place != F.col("first")).select("doc", "key", "place"))
-    return written(removed.distinct().groupBy("doc", "key").agg(F.sort_array(F.collect_list("place")).alias("places")), "line-removals")
+    return removed.distinct().groupBy("doc", "key").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 COUNTS = ("n_lines", "n_removed_chunks", "n_removed_lines")

@@ -63,11 +63,17 @@ def test_repeated_rows_and_empty_table(spark):
     assert ld.remove_repeated_lines(plain(spark, [])).count() == 0
 
 
-def test_colliding_digests_remove_equal_bytes_only(spark, monkeypatch):
+def test_colliding_digests_remove_equal_bytes_only(spark):
     rng = random.Random(7)
     shared = "\n".join(lines(rng, 10))
     pairs = [(i, shared + "\n" + "\n".join(lines(rng, 6))) for i in range(4)]
     assert cleaned(spark, pairs) == brute(pairs)
+    table = docs(spark, [(i, t, "en") for i, t in pairs])
+    for passages in (False, True):
+        plainly, colliding = (
+            {(r["doc"], tuple(r["places"])) for r in ld.repeated_chunks(table, passages, digest).collect()} for digest in (ld.xxhash.xxh3_128_digest, lambda data, seed: bytes([len(data) % 2]))
+        )
+        assert plainly == colliding and len(plainly) == 3
 
 
 def test_short_passages_in_other_surroundings_go_whole(spark, tmp_path):

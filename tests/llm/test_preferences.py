@@ -58,3 +58,19 @@ def test_plan_has_no_python(spark):
     turns = spark.createDataFrame([(0, 0, U, "a")], "conv_id long, turn long, role string, text string")
     plan = format_pairs(conversation_pairs(turns))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_large_negative_and_null_ids_pair_up(spark):
+    big = 1 << 60
+    rows = [(c, 1, "user", "u", 5) for c in [*range(big, big + 6), -4, -3, None]]
+    pairs = conversation_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, extra int"))
+    assert {r["pair_id"]: (len(r["chosen"]), len(r["rejected"])) for r in pairs.collect()} == {big // 2: (1, 1), big // 2 + 1: (1, 1), big // 2 + 2: (1, 1), -2: (1, 1)}
+
+
+def test_clashing_columns_pass_through(spark):
+    turns = "array<struct<role:string,text:string>>"
+    schema = f"pair_id long, chosen {turns}, rejected {turns}, prompt string, _c int, left int, n int, `odd name` int"
+    out = format_pairs(spark.createDataFrame([(1, [("user", "a"), ("assistant", "b")], None, "mine", 7, 8, 9, 10)], schema))
+    assert out.columns == ["pair_id", "prompt", "_c", "left", "n", "odd name", "n_common", "_prompt", "chosen", "rejected", "chosen_mask", "rejected_mask", "paired", "comparable"]
+    r = out.collect()[0]
+    assert (r["prompt"], r["_c"], r["left"], r["n"], r["odd name"], r["_prompt"], r["paired"], r["n_common"]) == ("mine", 7, 8, 9, 10, "", False, 0)

@@ -52,3 +52,27 @@ def test_few_candidates_and_empty_table(spark):
 def test_high_dimensions(spark):
     own = vectors(60, 48, 4)
     assert found(spark, own, 10, 5) == brute(own, 10, 5)
+
+
+def test_every_dimension_is_searched_and_matches_the_sql(spark, tmp_path):
+    import duckdb
+
+    from cueloom.llm.queries import ORACLE_SQL, op7_exact_topk
+
+    own = [*vectors(120, 8, 2), *((i + 1000, v) for i, v in vectors(60, 5, 3)), *((i + 2000, v) for i, v in vectors(3, 2, 4)), *vectors(10, 8, 6), (50, None), (100, [1.0] * 8), (100, [2.0] * 8)]
+    table(spark, own).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT query_id, rank, score FROM ({ORACLE_SQL['op7_exact_topk']})").fetchall())
+    got = op7_exact_topk(spark, str(tmp_path))
+    assert sorted((r["query_id"], r["rank"], r["score"]) for r in got.collect()) == want
+    assert {q for q, _, _ in want} >= {0, 50, 100, 1000, 1050, 2000}
+
+
+def test_blocks_pass_over_chunks_that_cannot_matter(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "LEAST_GROUPS", 3)
+    long_ = [(i, [8.0 if j == i % 8 else 0.5 for j in range(8)]) for i in range(40)]
+    own = long_ + [(i + 100, [v / 64 for v in x]) for i, x in vectors(200, 8, 5)]
+    assert found(spark, own) == brute(own, 5, 5)
