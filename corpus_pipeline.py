@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cueloom.llm import language_id, pii
 from cueloom.llm.exact_dedup import exact_groups
 from cueloom.llm.keep import without
-from cueloom.llm.minhash import near_duplicates
+from cueloom.llm.minhash import near_duplicates, text_hash
 from cueloom.llm.packing import pack
 from cueloom.llm.queries import vocabulary
 from cueloom.sources.tables import table
