@@ -286,7 +286,7 @@ def drift_runs(samples: DataFrame, scripts: DataFrame) -> DataFrame:
     stats = stats.withColumn("visible_chars", _span("display_text", F.col("start_char"), F.col("end_char"))).drop("display_text")
     stats = stats.where("sample_count >= 6 AND visible_chars >= 12 AND (median_drift >= 0.75 OR p75_drift >= 1.05)")
     score = F.col("median_drift") * 2 + F.col("p75_drift") + F.least(F.lit(2.0), F.col("visible_chars") / 24)
-    best = Window.partitionBy("script_id").orderBy(F.desc("score"), "start_char", "run")
+    best = Window.partitionBy("script_id").orderBy(F.round("score", 9).desc(), "start_char", "run")
     return stats.withColumn("score", score).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "run")
 
 

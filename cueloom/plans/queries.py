@@ -228,8 +228,8 @@ def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Boundaries ------------------------------------------------------------------------------------------------
 
 _EN_WORD = r"^[0-9A-Za-z''\x{2019}-]$"
-_BOUNDARIES = f"""
-    WITH {EN} ch AS (SELECT script_id, unnest(string_split(display_text, '')) AS c, unnest(range(length(display_text))) AS ix FROM en WHERE display_text <> ''),
+_OFFSETS = f"""
+    ch AS (SELECT script_id, unnest(string_split(display_text, '')) AS c, unnest(range(length(display_text))) AS ix FROM scripts WHERE display_text <> ''),
     b AS (SELECT script_id, c AS r, ix, lag(c) OVER w AS l, last_value(CASE WHEN NOT regexp_matches(c, '^{WS}$') THEN c END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
         first_value(CASE WHEN NOT regexp_matches(c, '^{WS}$') THEN c END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n,
         sum(CASE WHEN regexp_matches(c, '^{C.one_of(C.OPEN_QUOTES)}$') THEN 1 WHEN regexp_matches(c, '^{C.one_of(C.CLOSE_QUOTES)}$') THEN -1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s
@@ -237,6 +237,8 @@ _BOUNDARIES = f"""
     q AS (SELECT *, coalesce(s, 0) - least(0, min(coalesce(s, 0)) OVER (PARTITION BY script_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) > 0 AS quoted,
         coalesce(regexp_matches(l, '^{WS}$'), false) OR regexp_matches(r, '^{WS}$') AS space, coalesce(regexp_matches(l, '{_EN_WORD}'), false) AND regexp_matches(r, '{_EN_WORD}') AS inside FROM b),
     f AS (SELECT *, coalesce(regexp_matches(p, '^{C.one_of(C.STRONG + C.CLOSE_QUOTES)}$'), false) AS hard, coalesce(regexp_matches(p, '^{C.one_of(C.MID)}$'), false) AS soft FROM q),
+"""
+_BOUNDARIES = f"""WITH {EN} scripts AS (SELECT * FROM en), {_OFFSETS}
     z AS (SELECT *, CASE WHEN p IS NULL OR n IS NULL THEN 0.0::DOUBLE ELSE CASE WHEN hard THEN 18 WHEN soft THEN 10 ELSE 0 END - CASE WHEN regexp_matches(n, '^{C.one_of(C.STRONG + C.MID + C.CLOSE_QUOTES)}$') THEN 18 ELSE 0 END
         - CASE WHEN regexp_matches(p, '^{C.one_of(C.OPEN_QUOTES)}$') THEN 55 ELSE 0 END + CASE WHEN space THEN 34 ELSE 0 END - CASE WHEN inside THEN 90 ELSE 0 END END AS score FROM f)
 """
@@ -261,6 +263,56 @@ def boundary_scores_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _is(char: str, chars: str) -> str:
+    return f"coalesce(regexp_matches({char}, '^{C.one_of(chars)}$'), false)"
+
+
+def _of(char: str, *ranges: tuple[int, int]) -> str:
+    return f"coalesce(regexp_matches({char}, '^{C.in_ranges(*ranges)}$'), false)"
+
+
+def _translated(text: str, language: str) -> str:
+    quoted = (corpora.DENSE_LETTERS[language] * 2).replace("'", "''")
+    return f"translate({text}, '{corpora.LETTERS + corpora.LETTERS.upper()}', '{quoted}')"
+
+
+_ZH_RISK = f"""CASE WHEN {_is("n", C.STRONG + C.MID)} THEN false WHEN {_is("p", C.OPEN_QUOTES)} OR p IN ('"', chr(39)) THEN {_of("n", *C.CJK)} OR {_is("n", C.ZH_QUOTE_FOLLOWERS)}
+    WHEN {_is("n", C.CLOSE_QUOTES)} OR n IN ('"', chr(39)) THEN {_of("p", *C.CJK)} WHEN {_is("p", C.CLOSE_QUOTES)} OR p IN ('"', chr(39)) THEN {_is("n", C.ZH_QUOTE_FOLLOWERS)} ELSE false END"""
+_JA_SCORE = f"""CASE WHEN {_of("p", *C.KATAKANA)} AND {_of("n", *C.KATAKANA)} OR {_of("p", *C.KANJI)} AND {_of("n", *C.KANJI)} THEN -78
+    WHEN {_of("p", *C.KANJI)} AND {_of("n", *C.HIRAGANA)} AND NOT {_is("n", C.JA_EDGES)} OR {_of("p", *C.HIRAGANA)} AND {_of("n", *C.KANJI)} AND NOT {_is("p", C.JA_EDGES)} THEN -68
+    WHEN {_of("p", *C.HIRAGANA)} AND {_of("n", *C.HIRAGANA)} THEN CASE WHEN {_is("p", C.JA_EDGES)} THEN 0 ELSE -48 END
+    WHEN {_is("p", C.JA_NUMERALS)} AND ({_is("n", C.JA_NUMERALS)} OR {_is("n", C.JA_COUNTERS)}) OR {_is("p", C.JA_COUNTERS)} AND {_is("n", C.JA_NUMERALS)} THEN -78
+    WHEN {_is("p", C.JA_LONG_MARKS)} OR {_is("n", C.JA_SMALL_KANA)} THEN -78 ELSE 0 END"""
+_DENSE = f"""dense AS (SELECT doc_id AS script_id, CASE lang {" ".join(f"WHEN '{own}' THEN '{to}'" for own, to in corpora.DENSE_LANGUAGES.items())} END AS language,
+        CASE lang {" ".join(f"WHEN '{own}' THEN {_translated('shown', to)}" for own, to in corpora.DENSE_LANGUAGES.items())} END AS display_text
+        FROM (SELECT *, {_strip("regexp_replace(text, chr(13) || chr(10) || '|' || chr(13), chr(10), 'g')")} AS shown FROM documents WHERE lang IN ({", ".join(f"'{x}'" for x in corpora.DENSE_LANGUAGES)}))),"""
+
+
+@query(f"""WITH {_DENSE} scripts AS (SELECT * FROM dense), {_OFFSETS}
+    k AS (SELECT f.*, language, {_ZH_RISK} AS zh_risk, {_JA_SCORE} AS ja, {_of("p", *C.HANGUL)} AND {_of("n", *C.HANGUL)} AND NOT space AS pair, {_is("p", C.OPEN_QUOTES)} OR {_is("n", C.CLOSE_QUOTES)} AS beside
+        FROM f JOIN dense USING (script_id)),
+    s AS (SELECT *, CASE WHEN p IS NULL OR n IS NULL THEN 0 ELSE CASE WHEN hard THEN 18 WHEN soft THEN 10 ELSE 0 END - CASE WHEN {_is("n", C.STRONG + C.MID + C.CLOSE_QUOTES)} THEN 18 ELSE 0 END - CASE WHEN {_is("p", C.OPEN_QUOTES)} THEN 55 ELSE 0 END
+            + CASE language WHEN 'zh' THEN CASE WHEN zh_risk THEN -95 ELSE -24 * {_is("p", C.ZH_EDGES)}::INT - 8 * {_is("n", C.ZH_EDGES)}::INT - 6 * ({_of("p", *C.CJK)} AND {_of("n", *C.CJK)})::INT END
+                WHEN 'ko' THEN 34 * space::INT - 74 * pair::INT - 55 * beside::INT ELSE ja - CASE WHEN quoted AND NOT hard AND NOT soft THEN 28 ELSE 0 END END END AS score,
+        CASE WHEN p IS NULL OR n IS NULL THEN false WHEN language = 'zh' THEN zh_risk WHEN hard OR soft THEN false WHEN language = 'ko' THEN beside OR pair ELSE beside OR ja <= -48 END AS risk,
+        CASE language WHEN 'zh' THEN -24 * {_is("p", C.ZH_EDGES)}::INT - 8 * {_is("n", C.ZH_EDGES)}::INT - 90 * (p IS NOT NULL AND n IS NOT NULL AND zh_risk)::INT
+            WHEN 'ko' THEN -70 * pair::INT + 24 * space::INT - 6 * quoted::INT ELSE 12 * {_is("p", C.JA_EDGES)}::INT - 38 * {_is("n", C.JA_EDGES)}::INT - 6 * quoted::INT END + CASE WHEN hard THEN 90 WHEN soft THEN 45 ELSE 0 END AS extra FROM k)
+    SELECT script_id, language, count(*) AS offsets, count(*) FILTER (risk) AS risky, count(*) FILTER (quoted) AS quoted, CAST(sum(score) AS DOUBLE) AS total_score, CAST(sum(score + extra) AS DOUBLE) AS total_move FROM s GROUP BY script_id, language""")
+def boundary_scores_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every offset of made Chinese, Korean and Japanese scripts, scored; summed up by script."""
+    scripts = corpora.dense_scripts(spark, sf_dir)
+    b = boundaries(scripts, "display_text").where("right <> ''").join(scripts.select("script_id", "language"), "script_id")
+    group = F.when(F.col("language") == "zh", "cjk").otherwise(F.col("language"))
+    args = [group, F.col("prev"), F.col("nxt"), F.col("left"), F.col("right")]
+    return b.groupBy("script_id", "language").agg(
+        F.count("*").alias("offsets"),
+        F.count_if(high_risk(*args)).alias("risky"),
+        F.count_if("quoted").alias("quoted"),
+        F.sum(score(*args, F.col("quoted"))).alias("total_score"),
+        F.sum(repair_score(*args, F.col("quoted"), F.lit(0))).alias("total_move"),
+    )
+
+
 # --- Tokens ----------------------------------------------------------------------------------------------------
 
 
@@ -459,12 +511,25 @@ def drift_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.count("*").alias("sample_count")).where("sample_count >= 2").drop("run")
 
 
-@query()
+@query(f"""WITH {TOKENS} late AS (SELECT *, start + 0.9::DOUBLE * (ord // 40 % 3) AS ls FROM tokens),
+    x AS (SELECT script_id, start_char, end_char, (ls + (ls + 0.2::DOUBLE)) / 2
+        - (start + ("end" - start) * ((greatest(start_char, least(end_char - 1, (start_char + end_char - 1) // 2)) + 0.5::DOUBLE - start_char) / (end_char - start_char))) AS d FROM late),
+    h AS (SELECT *, abs(d) AS size, abs(d) >= 0.65::DOUBLE AS hit, d >= 0 AS later FROM x),
+    g AS (SELECT *, lag(hit) OVER w AS lh, lag(later) OVER w AS ll, max(CASE WHEN hit THEN end_char END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h WINDOW w AS (PARTITION BY script_id ORDER BY start_char, end_char)),
+    r AS (SELECT *, sum(CASE WHEN coalesce(NOT lh OR ll <> later OR start_char > reach + 4, true) THEN 1 ELSE 0 END) OVER (PARTITION BY script_id ORDER BY start_char, end_char) AS run FROM g),
+    t AS (SELECT script_id, run, min(start_char) AS start_char, max(end_char) AS end_char, count(*) AS sample_count, median(size) AS median_drift, list_sort(list(size))[CAST(round_even((count(*) - 1) * 0.75, 0) AS BIGINT) + 1] AS p75_drift,
+        max(size) AS max_drift, median(d) AS signed_median_drift FROM r WHERE hit GROUP BY script_id, run HAVING count(*) >= 6),
+    v AS (SELECT t.*, {_span("start_char", "end_char")} AS visible_chars FROM t JOIN en USING (script_id)),
+    c AS (SELECT *, median_drift * 2 + p75_drift + least(2.0::DOUBLE, visible_chars / 24) AS score FROM v WHERE visible_chars >= 12 AND (median_drift >= 0.75 OR p75_drift >= 1.05)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY round(score, 9) DESC, start_char, run) AS place FROM c)
+    SELECT script_id, start_char, end_char, sample_count, visible_chars, round(median_drift, 6) AS median_drift, round(p75_drift, 6) AS p75_drift, round(max_drift, 6) AS max_drift, round(signed_median_drift, 6) AS signed_median_drift, round(score, 6) AS score FROM best WHERE place = 1""")
 def strongest_drift_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest drift run of each script, over the timings of all words."""
     tokens = _tokens(spark, sf_dir)
     late = tokens.withColumn("start", F.col("start") + 0.9 * F.pmod(F.floor(F.col("ord") / 40), F.lit(3))).withColumn("end", F.col("start") + 0.2)
-    return tok.drift_runs(iv.drift_samples(late.select("script_id", "ord", "start", "end", "start_char", "end_char"), tokens), corpora.english_scripts(spark, sf_dir))
+    found = tok.drift_runs(iv.drift_samples(late.select("script_id", "ord", "start", "end", "start_char", "end_char"), tokens), corpora.english_scripts(spark, sf_dir))
+    rounded = ("median_drift", "p75_drift", "max_drift", "signed_median_drift", "score")
+    return found.select("script_id", "start_char", "end_char", "sample_count", "visible_chars", *[F.round(c, 6).alias(c) for c in rounded])
 
 
 # --- Cues ------------------------------------------------------------------------------------------------------
@@ -541,20 +606,41 @@ def unresolved_cue_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risks.join(done, ["script_id", "start_char", "end_char"], "left_anti").select("script_id", "index", "first_idx", "last_idx")
 
 
-@query(f"""WITH {CUES} x AS (SELECT *, coalesce(lag(near_max) OVER w, false) AS pb, coalesce(lead(near_max) OVER w, false) AS nb, coalesce(lead(duration) OVER w <= 3.3::DOUBLE, false) AS ns, coalesce(lead(chars) OVER w, 0) AS nc, coalesce(gap_after, 0) AS ga, coalesce(gap_before, 0) AS gb, max(idx) OVER (PARTITION BY script_id) AS last FROM m WINDOW w AS (PARTITION BY script_id ORDER BY idx)),
+_SCORE = """CASE WHEN near_max AND chars <= 54 THEN 4.0::DOUBLE + (54 - chars) / 54 ELSE 0 END + CASE WHEN near_max AND (pb OR nb) THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN near_max AND ns AND nc >= 12 THEN 2.4::DOUBLE ELSE 0 END
+    + CASE WHEN pb AND os AND chars >= 12 THEN 2.2::DOUBLE ELSE 0 END + CASE WHEN near_max AND ga > 0.35::DOUBLE THEN least(2.0::DOUBLE, ga) ELSE 0 END + CASE WHEN pb AND gb > 0.35::DOUBLE THEN least(1.6::DOUBLE, gb) ELSE 0 END
+    + CASE WHEN duration >= 5.75 AND chars >= 28 AND cps < 5 THEN 1.2::DOUBLE ELSE 0 END"""
+_MICRO = f"""WITH {CUES} x AS (SELECT *, coalesce(lag(near_max) OVER w, false) AS pb, coalesce(lead(near_max) OVER w, false) AS nb, coalesce(lead(duration) OVER w <= 3.3::DOUBLE, false) AS ns, coalesce(lead(chars) OVER w, 0) AS nc, coalesce(gap_after, 0) AS ga, coalesce(gap_before, 0) AS gb, max(idx) OVER (PARTITION BY script_id) AS last FROM m WINDOW w AS (PARTITION BY script_id ORDER BY idx)),
     r AS (SELECT *, duration <= least(3.4::DOUBLE, 6.0::DOUBLE * 0.55::DOUBLE) OR duration <= 1.2::DOUBLE + 1.4::DOUBLE AS os FROM x),
-    s AS (SELECT script_id, idx, last, pb, os, ns, near_max, list_sort(list_filter([CASE WHEN near_max AND chars <= 54 THEN 'micro_sparse_maxed_cue' END, CASE WHEN near_max AND (pb OR nb) THEN 'micro_consecutive_maxed_cues' END, CASE WHEN near_max AND ns AND nc >= 12 THEN 'micro_maxed_then_short_cue' END,
+    s AS (SELECT script_id, idx, last, pb, os, ns, near_max, {_SCORE} AS score, list_sort(list_filter([CASE WHEN near_max AND chars <= 54 THEN 'micro_sparse_maxed_cue' END, CASE WHEN near_max AND (pb OR nb) THEN 'micro_consecutive_maxed_cues' END, CASE WHEN near_max AND ns AND nc >= 12 THEN 'micro_maxed_then_short_cue' END,
         CASE WHEN pb AND os AND chars >= 12 THEN 'micro_short_after_maxed_cue' END, CASE WHEN near_max AND ga > 0.35::DOUBLE THEN 'micro_gap_after_maxed_cue' END, CASE WHEN pb AND gb > 0.35::DOUBLE THEN 'micro_gap_before_after_maxed_cue' END,
-        CASE WHEN duration >= 5.75 AND chars >= 28 AND cps < 5 THEN 'micro_low_cps_long_cue' END], lambda x: x IS NOT NULL)) AS reasons, CASE WHEN near_max AND (chars <= 54 OR pb OR nb) THEN 'high' ELSE 'medium' END AS severity FROM r)
-    SELECT script_id, idx, greatest(1, idx - CASE WHEN pb AND os THEN 2 ELSE 1 END) AS first_idx, least(last, idx + CASE WHEN near_max AND ns THEN 2 ELSE 1 END) AS last_idx, array_to_string(reasons, ',') AS reasons, severity FROM s WHERE len(reasons) > 0 AND last > 1""")
-def micro_drift_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cue_ops.micro_candidates(_cues(spark, sf_dir)).drop("score").withColumn("reasons", F.array_join("reasons", ","))
+        CASE WHEN duration >= 5.75 AND chars >= 28 AND cps < 5 THEN 'micro_low_cps_long_cue' END], lambda x: x IS NOT NULL)) AS reasons, CASE WHEN near_max AND (chars <= 54 OR pb OR nb) THEN 'high' ELSE 'medium' END AS severity FROM r),
+    found AS (SELECT script_id, idx, greatest(1, idx - CASE WHEN pb AND os THEN 2 ELSE 1 END) AS first_idx, least(last, idx + CASE WHEN near_max AND ns THEN 2 ELSE 1 END) AS last_idx, reasons, severity, score FROM s WHERE len(reasons) > 0 AND last > 1)"""
 
 
-@query()
+@query(f"{_MICRO} SELECT script_id, idx, first_idx, last_idx, array_to_string(reasons, ',') AS reasons, severity, round(score, 6) AS score FROM found")
+def micro_drift_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cue_ops.micro_candidates(_cues(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ",")).withColumn("score", F.round("score", 6))
+
+
+@query(f"""{_MICRO},
+    texts AS (SELECT script_id, string_agg(text, ' ' ORDER BY idx) AS display_text FROM cues GROUP BY script_id),
+    c AS (SELECT s.script_id, s.idx, first_idx, last_idx, reasons, severity, score, a.start_char AS ac, a.start AS first_start, b.end_char AS bc, b."end" AS last_end, display_text
+        FROM found s JOIN cues a ON a.script_id = s.script_id AND a.idx = s.first_idx JOIN cues b ON b.script_id = s.script_id AND b.idx = s.last_idx JOIN texts t ON t.script_id = s.script_id),
+    lo AS (SELECT *, greatest(0, ac - 90) AS lo, least(length(display_text), bc + 120) AS hi FROM c),
+    g AS (SELECT *, lo + length(regexp_extract(substr(display_text, CAST(lo + 1 AS BIGINT), CAST(ac - lo AS BIGINT)), '(?s)^(.*{_ENDS})', 1)) AS a,
+        CASE WHEN regexp_matches(substr(display_text, CAST(bc + 1 AS BIGINT), CAST(hi - bc AS BIGINT)), '{_ENDS}') THEN bc + length(regexp_extract(substr(display_text, CAST(bc + 1 AS BIGINT), CAST(hi - bc AS BIGINT)), '(?s)^([^{_ENDS[1:-1]}]*{_ENDS})', 1)) ELSE hi END AS b FROM lo),
+    part AS (SELECT *, substr(display_text, CAST(a + 1 AS BIGINT), CAST(greatest(b - a, 0) AS BIGINT)) AS part FROM g),
+    trimmed AS (SELECT *, a + length(part) - length(regexp_replace(part, '^{WS}+', '')) AS start_char, b - length(part) + length(regexp_replace(part, '{WS}+$', '')) AS end_char FROM part WHERE regexp_replace(part, '{WS}+', '', 'g') <> ''),
+    mk AS (SELECT *, CASE WHEN start_char > max(end_char) OVER (PARTITION BY script_id ORDER BY start_char, end_char, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 40 THEN 1 ELSE 0 END AS new FROM trimmed),
+    gr AS (SELECT *, sum(new) OVER (PARTITION BY script_id ORDER BY start_char, end_char, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM mk),
+    mg AS (SELECT script_id, CAST(min(start_char) AS INTEGER) AS start_char, CAST(max(end_char) AS INTEGER) AS end_char, min(first_idx) AS first_idx, max(last_idx) AS last_idx, round(max(score), 6) AS score,
+        array_to_string(list_sort(list_distinct(flatten(list(reasons)))), ',') AS reasons, CASE WHEN bool_or(severity = 'high') THEN 'high' ELSE 'medium' END AS severity, min(greatest(0.0::DOUBLE, first_start)) AS audio_start, max(greatest(last_end, first_start + 0.5::DOUBLE)) AS audio_end FROM gr GROUP BY script_id, grp),
+    top AS (SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY severity <> 'high', score DESC, start_char) AS index FROM mg)
+    SELECT * FROM top WHERE index <= 16""")
 def merged_micro_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = _cues(spark, sf_dir)
-    return cue_ops.merged_micro_candidates(cues, _texts(cues)).withColumn("reasons", F.array_join("reasons", ","))
+    found = cue_ops.merged_micro_candidates(cues, _texts(cues)).withColumn("reasons", F.array_join("reasons", ","))
+    return found.withColumns({"score": F.round("score", 6), "start_char": F.col("start_char").cast("int"), "end_char": F.col("end_char").cast("int")})
 
 
 _REPORT = f"""{_RISK} q AS (SELECT script_id, count(*) AS subtitle_count, avg(duration) AS avg_subtitle_duration, min(duration) AS min_subtitle_duration, max(duration) AS max_subtitle_duration, avg(cps) AS avg_chars_per_second, max(cps) AS max_chars_per_second,
@@ -572,6 +658,35 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("warning_count", F.size("warnings")).drop("warnings", "suspicious_gap_count", *dense)
 
 
+_DENSE_CUES = CUES + f"""
+    d AS (SELECT *, script_id % 2 = 0 AS zh, CASE WHEN script_id % 2 = 0 THEN {_translated("text", "zh")} ELSE {_translated("text", "ko")} END AS shown FROM m),
+    texts AS (SELECT script_id, string_agg(shown, ' ' ORDER BY idx) AS display_text FROM d GROUP BY script_id),
+    e AS (SELECT d.*, regexp_extract(substr(display_text, 1, end_char), '(?s)([^{WS[1:-1]}]){WS}*$', 1) AS p0, regexp_extract(substr(display_text, end_char + 1), '(?s)^{WS}*([^{WS[1:-1]}])', 1) AS n0,
+        CASE WHEN end_char > 0 THEN substr(display_text, end_char, 1) ELSE '' END AS l, substr(display_text, end_char + 1, 1) AS r FROM d JOIN texts USING (script_id)),
+    o AS (SELECT *, nullif(p0, '') AS p, nullif(n0, '') AS n, regexp_matches(l, '^{WS}$') OR regexp_matches(r, '^{WS}$') AS space FROM e),
+    u AS (SELECT *, gap_after IS NOT NULL AND p IS NOT NULL AND n IS NOT NULL AND CASE WHEN zh THEN {_ZH_RISK} WHEN {_is("p", C.STRONG + C.MID + C.CLOSE_QUOTES)} THEN false
+            ELSE {_is("p", C.OPEN_QUOTES)} OR {_is("n", C.CLOSE_QUOTES)} OR ({_of("p", *C.HANGUL)} AND {_of("n", *C.HANGUL)} AND NOT space) END AS unsafe,
+        NOT (regexp_extract(shown, '(?s)([^{WS[1:-1]}]){WS}*$', 1) = '' OR regexp_matches(regexp_extract(shown, '(?s)([^{WS[1:-1]}]){WS}*$', 1), '^{NATURAL}$')) AS unnatural,
+        coalesce(gap_after > 0.8::DOUBLE AND (chars > CASE WHEN zh THEN 34 ELSE 38 END OR near_max), false) AS wide FROM o),"""
+
+
+@query(f"""WITH {_DENSE_CUES} q AS (SELECT script_id, zh, count(*) FILTER (zh AND chars > 34) AS zh_long_cue_count, count(*) FILTER (zh AND cps > 8.5) AS zh_fast_cue_count, count(*) FILTER (zh AND unsafe) AS zh_unsafe_boundary_count,
+        count(*) FILTER (zh AND wide) AS zh_large_gap_after_long_cue_count, CAST(sum(CASE WHEN zh THEN unsafe::INT + (wide OR coalesce(gap_after > 1.5, false))::INT + (cps > 9.5)::INT ELSE 0 END) AS BIGINT) AS zh_timeline_risk_count,
+        count(*) FILTER (NOT zh AND chars > 38) AS ko_long_cue_count, count(*) FILTER (NOT zh AND cps > 9.5) AS ko_fast_cue_count, count(*) FILTER (NOT zh AND unsafe) AS ko_unsafe_boundary_count,
+        CAST(sum(CASE WHEN zh THEN 0 ELSE unsafe::INT + (wide OR coalesce(gap_after > 1.5, false))::INT + (cps > 10.5)::INT END) AS BIGINT) AS ko_timeline_risk_count, CAST(sum(unsafe::INT + (zh AND unnatural)::INT) AS BIGINT) AS weak_boundary_count,
+        count(*) FILTER (gap_after > 0.8::DOUBLE) AS gaps, count(*) FILTER (gap_after < 0) AS n_overlaps, count(*) FILTER (duration < 1.2::DOUBLE) AS n_shorts, count(*) FILTER (duration > 6.0::DOUBLE + 0.001::DOUBLE) AS n_longs, count(*) FILTER (chars = 0) AS n_empties,
+        count(*) FILTER (cps > CASE WHEN zh THEN 8.5 ELSE 10.5 END) AS fast, count(*) FILTER (chars > CASE WHEN zh THEN 34 ELSE 38 END) AS n_crowded FROM u GROUP BY script_id, zh)
+    SELECT * EXCLUDE (zh, gaps, n_overlaps, n_shorts, n_longs, n_empties, fast, n_crowded), CAST(greatest(0, least(100, 100 - (n_overlaps * 18 + n_shorts * 6 + n_longs * 6 + n_empties * 12 + fast * 4 + n_crowded * 3 + gaps * 4 + weak_boundary_count * 2 + zh_fast_cue_count * 4
+            + zh_large_gap_after_long_cue_count * 6 + zh_unsafe_boundary_count * 5 + zh_timeline_risk_count * 6 + ko_fast_cue_count * 4 + ko_unsafe_boundary_count * 5 + ko_timeline_risk_count * 6))) AS INTEGER) AS quality_score,
+        array_to_string(list_filter([{", ".join(f"CASE WHEN {test} THEN '{text}' END" for test, text in zip(("n_overlaps > 0", "n_shorts > 0", "n_longs > 0", "false", "fast > 0", "n_crowded > 0", "gaps > 0", "zh_unsafe_boundary_count > 0", "zh_timeline_risk_count > 0", "ko_unsafe_boundary_count > 0", "ko_timeline_risk_count > 0"), C.REPORT_WARNINGS, strict=True))}], lambda x: x IS NOT NULL), ' / ') AS warnings FROM q""")
+def dense_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports of made Chinese and Korean cues: what only these languages have, the score and the warnings' texts."""
+    cues = cue_ops.with_profile(corpora.dense_cues(spark, sf_dir), profiles(spark))
+    report = cue_ops.quality(cues, _texts(cues))
+    own = [c for c in report.columns if c.startswith(("zh_", "ko_"))]
+    return report.select("script_id", *own, "weak_boundary_count", "quality_score", F.array_join("warnings", " / ").alias("warnings"))
+
+
 @query(f"WITH {_REPORT} last AS (SELECT 1) SELECT script_id, too_long_count + too_short_count + overlap_count AS error_count, 100.0::DOUBLE AS coverage_percent, false AS passed FROM scored")
 def quality_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = _cues(spark, sf_dir)
@@ -666,7 +781,19 @@ def _kernel(cues: DataFrame, scripts: DataFrame, work) -> DataFrame:
     return gathered.mapInArrow(run, CUE)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUES}
+    firm AS (SELECT *, greatest(0.0::DOUBLE, start) AS s, greatest(greatest(0.0::DOUBLE, start) + 0.1::DOUBLE, "end") AS e0, lead(start) OVER (PARTITION BY script_id ORDER BY idx) AS nx FROM m),
+    fixed AS (SELECT *, CASE WHEN nx IS NULL THEN e0 WHEN e0 > nx - 0.08::DOUBLE AND nx - 0.08::DOUBLE > s + 0.1::DOUBLE THEN nx - 0.08::DOUBLE ELSE least(e0, nx) END AS e FROM firm),
+    need AS (SELECT script_id, idx, s, e, s - lag(e) OVER w AS gap, greatest(0.0::DOUBLE, 6.0::DOUBLE - greatest(0.0::DOUBLE, e - s)) AS room,
+        greatest(0.0::DOUBLE, chars / 18.0::DOUBLE - greatest(greatest(0.0::DOUBLE, e - s), 0.1::DOUBLE)) AS hurry FROM fixed WINDOW w AS (PARTITION BY script_id ORDER BY idx)),
+    wish AS (SELECT *, s - least(hurry, gap - 0.08::DOUBLE, room) AS readable FROM need),
+    walk AS (SELECT script_id, idx, s, e FROM wish WHERE idx = 1 UNION ALL
+        SELECT n.script_id, n.idx, CASE WHEN n.gap > 0.2 THEN greatest(least(n.readable, greatest(w.e, w.s + 6.0::DOUBLE) + 0.2::DOUBLE), least(n.readable, n.s - n.room)) ELSE n.s END, n.e
+        FROM walk w JOIN wish n ON n.script_id = w.script_id AND n.idx = w.idx + 1),
+    held AS (SELECT w.script_id, w.idx, w.s, CASE WHEN n.gap > 0.2 THEN greatest(w.e, least(n.readable - 0.2::DOUBLE, w.s + 6.0::DOUBLE)) ELSE w.e END AS e FROM walk w LEFT JOIN wish n ON n.script_id = w.script_id AND n.idx = w.idx + 1),
+    cut AS (SELECT *, greatest(0.0::DOUBLE, s) AS b, lead(s) OVER (PARTITION BY script_id ORDER BY idx) AS nx FROM held)
+    SELECT c.script_id, 'en' AS language, 'standard' AS profile, c.idx, b AS start, greatest(b + 0.1::DOUBLE, least(least(greatest(b + 0.1::DOUBLE, c.e), b + 6.0::DOUBLE), coalesce(c.nx - 0.08::DOUBLE, 'infinity'::DOUBLE))) AS "end",
+        m.text, m.start_char, m.end_char FROM cut c JOIN m ON m.script_id = c.script_id AND m.idx = c.idx""")
 def smoothed_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clamped and smoothed times of the conversations' cues."""
     from cueloom.plans.splitting import clamp

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions.text import clean_display, visible_len
@@ -13,6 +13,38 @@ DURATIONS = (700, 1900, 3100, 6500, 13000)
 GAPS = (80, -150, 80, 900, 200, 1700, 80)
 
 
+#: What the letters a to z stand for in made scripts of languages that the tables don't have: fixed values, which hold every class of the rules.
+DENSE_LETTERS = {
+    "zh": "的地得把被他她一声了着过人山水走路看“”‘’：，。！",
+    "ko": "가나다라마바사아자차카타파하고노도로“”‘’?!,.",
+    "ja": "はがをにでともの駅前友年月アイウっー一二三円人、。「",
+}
+#: Documents in these languages become scripts in those.
+DENSE_LANGUAGES = {"de": "zh", "es": "ko", "fr": "ja"}
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def dense(text: Column, language: str) -> Column:
+    """``text`` with its letters, of either case, as characters of a dense script."""
+    return F.translate(text, LETTERS + LETTERS.upper(), DENSE_LETTERS[language] * 2)
+
+
+def dense_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """script_id, language, profile, display_text of the other documents, as Chinese, Korean and Japanese scripts."""
+    lang = F.col("lang")
+    language = F.create_map(*[F.lit(x) for pair in DENSE_LANGUAGES.items() for x in pair])[lang]
+    docs = table(spark, sf_dir, "documents").where(lang.isin(*DENSE_LANGUAGES)).withColumn("shown", clean_display(F.col("text"), compose=False))
+    text = F.coalesce(*[F.when(lang == own, dense(F.col("shown"), to)) for own, to in DENSE_LANGUAGES.items()])
+    return docs.select(F.col("doc_id").alias("script_id"), language.alias("language"), F.lit("standard").alias("profile"), text.alias("display_text")).where("display_text IS NOT NULL")
+
+
+def dense_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' cues with Chinese (even script_id) and Korean text."""
+    chinese = F.pmod("script_id", F.lit(2)) == 0
+    cues = conversation_cues(spark, sf_dir)
+    return cues.withColumn("text", F.when(chinese, dense(F.col("text"), "zh")).otherwise(dense(F.col("text"), "ko"))).withColumn("language", F.when(chinese, "zh").otherwise("ko"))
+
+
 def english_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """script_id, language, profile, display_text of the English documents. Their text is composed already."""
     docs = table(spark, sf_dir, "documents").where("lang = 'en'")
