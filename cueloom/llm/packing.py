@@ -5,7 +5,8 @@
 2. The lengths' histogram (``capacity`` counts, whatever the number of documents) goes to the driver. Patterns of at
    most ``PATTERN_PARTS`` lengths, in units of capacity / UNITS, that fill a sequence are enumerated; non-negative
    least squares fits how often each is repeated; counts are rounded down. Patterns are then filled with exact
-   lengths, the last place of each by best fit, and what is left is packed by best fit into open sequences, all in
+   lengths, the last place of each by best fit, and what is left is packed by best fit into open sequences; then the emptiest
+   sequences are opened and packed again as long as that saves any. All of it works on
    runs of equal sequences: the plan has a size that depends on the capacity and not on the number of documents.
 3. Each piece gets a rank among the pieces of its length, distributed over hashed chunks so that a length that a third
    of all pieces share is ranked in many tasks, and takes its place in the plan by that rank.
@@ -33,6 +34,8 @@ from cueloom.sources.workspace import written
 CAPACITY = 2048
 UNITS = 64
 PATTERN_PARTS = 4
+#: Shares of the sequences, the emptiest first, that are opened again one after the other.
+OPENED = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2)
 END_ID = 0
 SPECIAL = "<|endoftext|>"
 #: Pieces per chunk that are ranked together; at least LEAST_CHUNKS chunks.
@@ -150,7 +153,31 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[in
         repeats = np.floor(nnls(a, binned)).astype(np.int64)
         for j in np.flatnonzero(repeats):
             runs += _filled(known[j], int(repeats[j]), left, units, capacity)
-    return _rest(runs, left, capacity)
+    return _repacked(_rest(runs, left, capacity), histogram, capacity)
+
+
+def _repacked(planned: list[tuple[tuple[int, ...], int]], histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan after opening its emptiest sequences again, a growing share of them, as long as that can save any.
+
+    Rounding leaves patterns whose gaps no residual piece fits; pieces from the emptiest sequences, packed by best fit with
+    all others closed or open, fill them.
+    """
+    least = -(-int(np.dot(histogram, np.arange(capacity + 1))) // capacity)
+    count = sum(n for _, n in planned)
+    for share in OPENED:
+        if count <= least:
+            break
+        left, kept, open_ = np.zeros(capacity + 1, dtype=np.int64), [], math.ceil(count * share)
+        for lengths, n in sorted(planned, key=lambda run: (sum(run[0]), run)):
+            taken = min(n, open_)
+            open_ -= taken
+            np.add.at(left, list(lengths), taken)
+            if n > taken:
+                kept.append((lengths, n - taken))
+        again = _rest(kept, left, capacity)
+        if sum(n for _, n in again) < count:
+            planned, count = again, sum(n for _, n in again)
+    return planned
 
 
 def _filled(pattern: tuple[int, ...], repeats: int, left: np.ndarray, units: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:

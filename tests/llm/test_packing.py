@@ -1,3 +1,5 @@
+import bisect
+import os
 import random
 import zlib
 
@@ -67,3 +69,36 @@ def test_sequences_are_gapless_and_pieces_are_whole(spark, repeat):
 def test_cut_and_empty_table(spark):
     assert packing.cut(2048) == [(0, 2048)] and packing.cut(2049) == [(0, 1), (1, 2048)] and packing.cut(4096) == [(0, 2048), (2048, 2048)]
     assert packing.pack(plain(spark, []), JSON, RANKS).count() == 0
+
+
+def best_fit_decreasing(lengths):
+    """Sequences that plain best fit needs, longest first, piece by piece."""
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        room = rooms.pop(at) if at < len(rooms) else 2048
+        bisect.insort(rooms, room - length)
+    return len(rooms)
+
+
+def test_plans_are_as_short_as_plain_best_fit():
+    rng = np.random.default_rng(4)
+    samples = {
+        "documents": np.clip(rng.exponential(500, 6000), 1, 2048).astype(int),
+        "short": rng.integers(1, 200, 5000),
+        "thirds": rng.integers(600, 900, 4000),
+        "uniform": rng.integers(1, 2049, 4000),
+        "one length": np.full(999, 700),
+    }
+    for name, sample in samples.items():
+        total, plain_total = sum(n for _, n in packing.plan(np.bincount(sample, minlength=2049))), best_fit_decreasing(sample.tolist())
+        assert total <= plain_total * 1.001 + (name == "uniform"), name
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_the_query_reaches_the_bound_on_the_given_table(spark):
+    from cueloom.llm.queries import op2_best_fit_packing
+
+    found = op2_best_fit_packing(spark, "/root/testdata/sf0.01")
+    r = found.selectExpr("count(distinct sequence_id) AS n", "sum(length) AS tokens").collect()[0]
+    assert r["n"] == -(-r["tokens"] // 2048)
