@@ -6,12 +6,13 @@ output links), and each relaxes the best way to that position:
 * unigram models: the way with the highest sum of piece scores;
 * merge (BPE) models: a way's score is whether the merge rules give it. The pieces of a merge encoding are exactly the
   chain in which every piece is what its own characters merge to and every two neighbours stay apart when merged
-  together; the chain is unique, so that the first feasible piece settles a position. Feasibility of single pieces and
-  of pairs is kept. Equal scores, which only pieces of white space have, would break this; segments with more than one
+  together; the chain is unique, so that the first feasible piece settles a position. Pieces that their own characters do
+  not merge to can be in no chain and are left out of the automaton; whether a pair stays apart is kept. Equal scores, which only pieces of white space have, would break this; segments with more than one
   leading space are merged step by step instead.
 
 Segments end where no piece reaches across: before a space mark that follows another character, and around
-characters that are in no longer piece. Encodings of short segments are kept, ``KEPT`` at most per worker. Characters
+characters that are in no longer piece. Encodings of short segments are kept, in two generations of ``KEPT`` at most per
+worker: the older one goes when the younger is full, and what is still met moves over. Characters
 without a piece become byte pieces, or the unknown piece in models without these.
 
 Decoding joins pieces and bytes, turns space marks into spaces and drops the leading one. Text that itself holds the
@@ -38,9 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Segments, and pairs of pieces, whose results a worker keeps: about 100 MB each.
-KEPT = 400_000
+#: Segments of a generation, and pairs of pieces, whose results a worker keeps: about 60 MB each.
+KEPT = 250_000
 KEPT_CHARS = 40
+#: Characters up to which neighbours to merge are looked for in a list, beyond it in a heap.
+SHORT = 64
+NO_PIECE = float("-inf")
 
 
 class PieceModel:
@@ -51,21 +55,39 @@ class PieceModel:
         self.text = {i: p for i, p, _ in pieces}
         self.id = {p: i for i, p, _ in pieces}
         self.score = {i: s for i, _, s in pieces}
-        self.automaton = ahocorasick.Automaton()
-        for i, p, _ in pieces:
-            self.automaton.add_word(p, (i, len(p)))
-        self.automaton.make_automaton()
+        self.worth = {p: s for _, p, s in pieces}
         joined = "".join(sorted({c for p in self.id if len(p) > 1 for c in p} - {SPACE}))
         inner = "".join(map(re.escape, joined)) or "\\Z"
         self.segments = re.compile(f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]", re.DOTALL).findall
-        self.kept: dict[str, list[int]] = {}
-        self.whole: dict[int, bool] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.apart: dict[int, bool] = {}
         self.bytes = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in self.text.items()}
         self.bytes |= {i: bytes([b]) for b, i in enumerate(byte_ids or ())}
+        self.automaton = ahocorasick.Automaton()
+        for i, p, _ in pieces:
+            if not merges or len(self.merged(p)) == 1:
+                self.automaton.add_word(p, (i, len(p)))
+        self.automaton.make_automaton()
 
     def merged(self, segment: str) -> list[str]:
         """The segment's pieces by merging the best-scored, then leftmost, neighbours as long as any make a piece."""
+        if len(segment) > SHORT:
+            return self._merged_by_heap(segment)
+        parts, worth = list(segment), self.worth.get
+        offers = [worth(a + b, NO_PIECE) for a, b in zip(parts, parts[1:])]  # noqa: B905
+        while offers and (best := max(offers)) > NO_PIECE:
+            at = offers.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del offers[at]
+            if at:
+                offers[at - 1] = worth(parts[at - 1] + parts[at], NO_PIECE)
+            if at < len(offers):
+                offers[at] = worth(parts[at] + parts[at + 1], NO_PIECE)
+        return parts
+
+    def _merged_by_heap(self, segment: str) -> list[str]:
+        """The same for segments of any length."""
         parts: list[str] = list(segment)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -88,18 +110,12 @@ class PieceModel:
             offer(left, after[left])
         return [p for p in parts if p]
 
-    def _one(self, piece: int) -> bool:
-        if (known := self.whole.get(piece)) is None:
-            known = self.whole[piece] = len(self.merged(self.text[piece])) == 1
-        return known
-
     def _two(self, left: int, right: int) -> bool:
-        if (known := self.apart.get((left, right))) is None:
-            if len(self.apart) >= KEPT:
-                self.apart.clear()
-            known = self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
-            self.apart[left, right] = known
-        return known
+        """Whether two neighbours stay apart."""
+        if len(self.apart) >= KEPT:
+            self.apart.clear()
+        apart = self.apart[left << 32 | right] = self.merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+        return apart
 
     def _fallback(self, char: str) -> list[int]:
         if self.byte_ids is None:
@@ -116,14 +132,17 @@ class PieceModel:
         n = len(segment)
         came: list[int | None] = [None] * (n + 1)
         if self.merges:
+            known = self.apart.get
             for end, (piece, length) in self.automaton.iter(segment):
                 if came[end + 1] is None:
                     start = end + 1 - length
                     if not start:
-                        if self._one(piece):
-                            came[end + 1] = piece
-                    elif (left := came[start]) is not None and self._one(piece) and self._two(left, piece):
                         came[end + 1] = piece
+                    elif (left := came[start]) is not None:
+                        if (apart := known(left << 32 | piece)) is None:
+                            apart = self._two(left, piece)
+                        if apart:
+                            came[end + 1] = piece
             if came[n] is None:  # a character without a piece: not seen in models whose pieces grow by merges
                 return self._spelled(self.merged(segment))
         else:
@@ -146,21 +165,27 @@ class PieceModel:
             at -= 1 if piece is None else len(self.text[piece])
         return [i for ids in reversed(out) for i in ids]
 
+    def _missed(self, segment: str) -> bytes:
+        """The ids of a segment that the younger generation does not hold."""
+        ids = self.older.get(segment) or b"".join([i.to_bytes(4, "little") for i in self.segment(segment)])
+        if len(segment) <= KEPT_CHARS:
+            if len(self.kept) >= KEPT:
+                self.kept, self.older = {}, self.kept
+            self.kept[segment] = ids
+        return ids
+
+    def encoded(self, text: str) -> bytes:
+        """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
+        out, kept = [], self.kept.get
+        for segment in self.segments(SPACE + text.replace(" ", SPACE)) if text else ():
+            if (ids := kept(segment)) is None:
+                ids = self._missed(segment)
+                kept = self.kept.get
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        kept = self.kept
-        for segment in self.segments(SPACE + text.replace(" ", SPACE)):
-            ids = kept.get(segment)
-            if ids is None:
-                ids = self.segment(segment)
-                if len(segment) <= KEPT_CHARS:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[segment] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encoded(text), dtype="<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
@@ -218,10 +243,9 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                ids = model.encode(text)
-                back = model.decode(ids)
-                crc = zlib.crc32(np.array(ids, dtype="<u4").tobytes())
-                rows.append((doc_id, len(ids), crc, hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
+                ids = model.encoded(text)
+                back = model.decode(np.frombuffer(ids, dtype="<u4").tolist())
+                rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
             kinds = {"doc_id": pa.int64(), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "decoded_sha256": pa.string(), "round_trip": pa.bool_()}
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
