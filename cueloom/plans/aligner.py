@@ -10,6 +10,7 @@ from typing import Protocol
 import numpy as np
 
 from cueloom.functions import charsets as C
+from cueloom.functions.arrays import blank, codes
 from cueloom.plans.script import Token
 from cueloom.plans.timeline import Timeline
 
@@ -20,7 +21,7 @@ class Clean:
 
     display: str
     align: str
-    origin: list[int]
+    origin: np.ndarray
 
 
 class Aligner(Protocol):
@@ -42,17 +43,19 @@ def engine_language(language: str) -> str:
 def clean(text: str | None, keep_punctuation: bool = True) -> Clean | None:
     """The cleaned script; None where nothing is left."""
     shown = unicodedata.normalize("NFC", re.sub("\r\n?", "\n", text or "").translate(dict.fromkeys(map(ord, C.ZERO_WIDTH)))).strip()
-    kept, origin = [], []
-    for at, ch in enumerate(shown):
-        if ch in C.MARKDOWN_NOISE or (not keep_punctuation and unicodedata.category(ch)[0] == "P"):
-            continue
-        blank = ch.isspace()
-        if not blank or (kept and kept[-1] != " "):
-            kept.append(" " if blank else ch)
-            origin.append(at)
-    if kept and kept[-1] == " ":
-        del kept[-1], origin[-1]
-    return Clean(shown, "".join(kept), origin) if kept else None
+    points = codes(shown)
+    keep = ~np.isin(points, codes(C.MARKDOWN_NOISE))
+    if not keep_punctuation:
+        marks = [point for point in np.unique(points).tolist() if unicodedata.category(chr(point))[0] == "P"]
+        keep &= ~np.isin(points, marks)
+    at = np.flatnonzero(keep)
+    gap = blank(points[at])
+    once = ~(gap & np.append(True, gap[:-1])) if len(at) else np.zeros(0, dtype=bool)  # of a run of blanks the first, none in front
+    at, gap = at[once], gap[once]
+    if len(gap) and gap[-1]:
+        at, gap = at[:-1], gap[:-1]
+    align = np.where(gap, ord(" "), points[at]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return Clean(shown, align, at) if align else None
 
 
 def normalized(text: str) -> str:
@@ -73,7 +76,7 @@ def mapped(tokens: Timeline | list[Token], script: Clean) -> Timeline:
         at = script.align.find(key, aligned)
         if at >= 0:
             aligned = at + len(key)
-            a, b = script.origin[at], script.origin[aligned - 1] + 1
+            a, b = int(script.origin[at]), int(script.origin[aligned - 1]) + 1
         else:
             raw = text.strip()
             found = script.display.find(raw, shown)
@@ -104,7 +107,7 @@ class SteadyAligner:
     def _steady(self, text: str, first: int) -> Timeline:
         """A token for each visible character of ``text``, from the ``first`` step on."""
         chars = np.array(list(text), dtype=object)
-        places = np.flatnonzero([not c.isspace() for c in text])
+        places = np.flatnonzero(~blank(codes(text)))
         start = (first + np.arange(len(places))) * self.step
         return Timeline(chars[places], start, start + self.step * 0.8, places, places + 1, np.full(len(places), self.confidence))
 
