@@ -6,7 +6,6 @@ to be shared.
 
 from __future__ import annotations
 
-import json
 import re
 import shutil
 import subprocess
@@ -14,12 +13,15 @@ import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.functions.profiles import InputError
 
+#: Fixed arguments and limits: mono at 16 kHz, even loudness, the shortest audio, and where the tool's banner names a duration.
 MONO_16K = ("-vn", "-ac", "1", "-ar", "16000")
+EVEN = ("-af", "loudnorm")
 LEAST_SECONDS = 0.5
 BANNER = r"Duration:\s*(\d+):(\d+):(\d+(?:\.\d+)?)"
 
@@ -28,18 +30,35 @@ class DependencyError(RuntimeError):
     """An external tool that is not installed."""
 
 
-def tool(name: str = "ffmpeg") -> str:
-    found = shutil.which(name)
-    if not found and name == "ffmpeg":
-        try:
-            import imageio_ffmpeg
+class Tool:
+    """One external program: where it is, and what it says when it runs."""
+
+    def __init__(self, name: str):
+        self.name = name
 
-            found = imageio_ffmpeg.get_ffmpeg_exe()
+    def path(self) -> str | None:
+        if found := shutil.which(self.name):
+            return found
+        try:  # a packaged copy, where there is one
+            import imageio_ffmpeg
         except ImportError:
-            pass
-    if not found:
-        raise DependencyError(f"{name} is not installed")
-    return found
+            return None
+        return imageio_ffmpeg.get_ffmpeg_exe() if self.name == "ffmpeg" else None
+
+    def command(self, *args: str) -> list[str]:
+        if (path := self.path()) is None:
+            raise DependencyError(f"{self.name} is not installed")
+        return [path, *args]
+
+    def said(self, *args: str, must: bool = False) -> str:
+        """Everything that the program writes; with ``must`` a failure is an error."""
+        done = subprocess.run(self.command(*args), stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, check=False)
+        if must and done.returncode:
+            raise InputError(done.stdout.strip()[-500:])
+        return done.stdout
+
+
+FFMPEG, FFPROBE = Tool("ffmpeg"), Tool("ffprobe")
 
 
 def banner_seconds(text: Column) -> Column:
@@ -48,51 +67,56 @@ def banner_seconds(text: Column) -> Column:
     return part[0] * 3600 + part[1] * 60 + part[2]
 
 
-def normalise_command(source: str, target: str) -> list[str]:
-    return [tool(), "-y", "-i", source, *MONO_16K, "-af", "loudnorm", target]
-
-
 def clip_command(source: str, target: str, start: float, end: float) -> list[str]:
+    """The command that cuts [start, end) seconds out of a file."""
     if end <= start:
         raise InputError("the clip is empty")
-    return [tool(), "-y", "-ss", f"{max(0.0, start):.3f}", "-i", source, "-t", f"{max(0.1, end - start):.3f}", *MONO_16K, target]
+    window = ("-ss", f"{max(0.0, start):.3f}", "-i", source, "-t", f"{max(0.1, end - start):.3f}")
+    return FFMPEG.command("-y", *window, *MONO_16K, target)
+
 
+def clip(source: str, target: str, start: float, end: float) -> str:
+    """Cut [start, end) seconds of ``source`` into the file ``target``."""
+    FFMPEG.said(*clip_command(source, target, start, end)[1:], must=True)
+    return target
 
-def probe(path: str) -> float:
-    """Seconds of an audio file."""
-    if shutil.which("ffprobe"):
-        out = subprocess.run([tool("ffprobe"), "-v", "error", "-show_entries", "format=duration", "-of", "json", path], capture_output=True, text=True, check=False)
-        seconds = float(json.loads(out.stdout or "{}").get("format", {}).get("duration") or 0)
+
+def seconds_of(path: str) -> float:
+    """Seconds of an audio file: what the probe answers, else what the banner names."""
+    answer = FFPROBE.said("-v", "error", "-show_entries", "format=duration", "-of", "csv=p=0", path).strip() if FFPROBE.path() else ""
+    if re.fullmatch(r"\d+(\.\d+)?", answer):
+        found = float(answer)
     else:
-        out = subprocess.run([tool(), "-hide_banner", "-i", path], capture_output=True, text=True, check=False)
-        found = re.search(BANNER, out.stdout + out.stderr)
-        seconds = int(found[1]) * 3600 + int(found[2]) * 60 + float(found[3]) if found else 0.0
-    if seconds <= 0:
+        parts = re.search(BANNER, FFMPEG.said("-hide_banner", "-i", path))
+        found = sum(float(x) * each for x, each in zip(parts.groups(), (3600, 60, 1), strict=True)) if parts else 0.0
+    if found <= 0:
         raise InputError("the audio has no duration")
-    return seconds
+    return found
+
+
+def _one_normalised(content: bytes | None) -> tuple[bytes | None, float | None, str | None]:
+    """(wav, seconds, error) of one file's bytes."""
+    with tempfile.TemporaryDirectory() as folder:
+        source, target = Path(folder, "in"), Path(folder, "out.wav")
+        try:
+            source.write_bytes(content or b"")
+            seconds = seconds_of(str(source))
+            if seconds < LEAST_SECONDS:
+                raise InputError("the audio is too short")
+            FFMPEG.said("-y", "-i", str(source), *MONO_16K, *EVEN, str(target), must=True)
+            return target.read_bytes(), seconds, None
+        except (InputError, DependencyError, OSError) as error:  # kept in the row
+            return None, None, f"{type(error).__name__}: {error}"
 
 
 def normalised(audio: DataFrame) -> DataFrame:
     """path, wav (16 kHz, mono, even loudness), duration and error of binaryFile rows (path, content)."""
-    import pandas as pd
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                with tempfile.TemporaryDirectory() as folder:
-                    source, target = Path(folder, "in"), Path(folder, "out.wav")
-                    try:
-                        source.write_bytes(content)
-                        seconds = probe(str(source))
-                        if seconds < LEAST_SECONDS:
-                            raise InputError("the audio is too short")
-                        done = subprocess.run(normalise_command(str(source), str(target)), capture_output=True, text=True, check=False)
-                        if done.returncode:
-                            raise InputError(done.stderr.strip()[-500:])
-                        rows.append((path, target.read_bytes(), seconds, None))
-                    except (InputError, DependencyError, ValueError) as error:  # kept in the row
-                        rows.append((path, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["path", "wav", "duration", "error"])
-
-    return audio.select("path", "content").mapInPandas(run, "path string, wav binary, duration double, error string")
+            for r in range(len(batch)):  # one file at a time is held
+                wav, seconds, error = _one_normalised(batch.column("content")[r].as_py())
+                values = (batch.column("path").slice(r, 1), pa.array([wav], pa.binary()), pa.array([seconds], pa.float64()), pa.array([error], pa.string()))
+                yield pa.RecordBatch.from_arrays(values, names=["path", "wav", "duration", "error"])
+
+    return audio.select("path", "content").mapInArrow(run, "path string, wav binary, duration double, error string")

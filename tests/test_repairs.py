@@ -113,3 +113,29 @@ def test_timelines_find_the_nearest_tokens():
     assert (mixed.before(5), mixed.before(0), mixed.after(3), mixed.after(9)) == (2, -1, 3, -1)
     assert (mixed.before(7), mixed.after(6), int(mixed.overlaps(2, 6).sum()), len(mixed.replaced(0, 9, line(0, 1)))) == (4, 4, 2, 2)
     assert mixed[len(mixed) - 1].a is None and mixed.rows()[-1]["confidence"] is None and mixed.by("a").text.tolist() == list(TEXT[0:3] + TEXT[5:9])
+
+
+class Model:
+    """Words of 0.5 s each, from the first one that the text begins with."""
+
+    asked: list = []
+
+    def align(self, path, text, language):
+        self.asked.append((path, text, language))
+        made = [{"word": w, "start": i * 0.5, "end": i * 0.5 + 0.4, "probability": 0.9} for i, w in enumerate(text.split())]
+        return {"segments": [{"words": made}, {"text": "", "start": "x"}, {"text": "late", "start": 9.0, "end": 1.0}]}
+
+
+def test_speech_models_align_scripts_and_clips():
+    from cueloom.plans.aligner import clean, engine_language
+    from cueloom.plans.speech import SpeechAligner, words
+
+    cut = []
+    own = SpeechAligner(Model, seconds=lambda path: 12.5, clip=lambda *args: cut.append(args) or args[1])
+    line, duration, shown = own.align(clean("one *two* three"), engine_language("zh-TW"), "/audio/a.wav")
+    assert (line.text.tolist(), duration, shown["segment_count"], shown["engine"]) == (["one", "two", "three"], 12.5, 3, "Model")
+    assert Model.asked == [("/audio/a.wav", "one two three", "zh")]
+    assert len(own.realign(clean("two three"), "en", 3.0, 8.0)) == 2 and cut[0][0] == "/audio/a.wav" and cut[0][2:] == (3.0, 8.0)
+    assert [t.confidence for t in words({"segments": [{"text": "all", "start": 1, "end": 2}]})] == [None]
+    with pytest.raises(ValueError):
+        own.align(clean("x"), "en", None)
