@@ -101,13 +101,13 @@ def _card(rng: random.Random) -> str:
     d = [rng.choice((3, 4, 5, 6))] + [rng.randrange(10) for _ in range(14)]
     d.append(next(c for c in range(10) if luhn([*d, c])))
     s = "".join(map(str, d))
-    gap = rng.choice(("", "", " ", "-", "."))
+    gap = rng.choice(("", "", " ", "-", ".", "."))
     return gap.join(s[i : i + 4] for i in range(0, 16, 4))
 
 
 def _phone(rng: random.Random) -> str:
     n = [rng.randrange(200, 1000), rng.randrange(200, 1000), rng.randrange(10000)]
-    shape = rng.choice(("+1 ({}) {}-{:04}", "+1 ({}) {}-{:04}", "({}) {}-{:04}", "{}-{}-{:04}", "+44 {} {} {:04}", "{}.{}.{:04}"))
+    shape = rng.choice(("+1 ({}) {}-{:04}", *("({}) {}-{:04}", "{}-{}-{:04}", "{}.{}.{:04}") * 2, "+44 {} {} {:04}"))
     return shape.format(*n)
 
 

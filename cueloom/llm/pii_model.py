@@ -111,7 +111,7 @@ def _crf(scores: np.ndarray, steps: np.ndarray, tags: np.ndarray) -> tuple[np.nd
     return d_scores / b, d_steps / b
 
 
-def train(windows: np.ndarray, tags: np.ndarray, batch: int = 48, rounds: int = 260, seed: int = 7, rate: float = 0.02) -> dict[str, np.ndarray]:
+def train(windows: np.ndarray, tags: np.ndarray, batch: int = 48, rounds: int = 400, seed: int = 7, rate: float = 0.02) -> dict[str, np.ndarray]:
     """Weights from symbol windows (n, time) and their tags (n, time), by Adam."""
     p, rng = fresh(seed), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
