@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom.llm.memory import tidy
 from cueloom.llm.sampling import cutoff, place
 
 DICTIONARY_BYTES = 96 << 10
@@ -103,6 +104,7 @@ class Classifier:
 
 
 def _predictor(contents: list[tuple[str, bytes]]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(contents)
         for batch in batches:
@@ -122,6 +124,7 @@ def identify(docs: DataFrame, contents: list[tuple[str, bytes]]) -> DataFrame:
 def keep_identified(docs: DataFrame, contents: list[tuple[str, bytes]]) -> DataFrame:
     """The rows of ``docs`` whose prediction is accepted, with all their columns."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(contents)
         for batch in batches:

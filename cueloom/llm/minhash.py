@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm.components import components, joined_by
 from cueloom.llm.filters import maybe_among
+from cueloom.llm.memory import tidy
 from cueloom.sources.workspace import scratch, written
 
 TREES = 12
@@ -62,6 +63,8 @@ LIKE = 36
 #: Ranges of the hash of which the second sketch holds the least shingle, and the deviations by which a pair may fall short there.
 BINS = 256
 SIGMAS = 5.0
+#: Cells of the table of sets and shingles that is held at a time: 8 MB.
+HELD_CELLS = 1 << 21
 SEED = 20_240_229
 HASH_BLOCK = 1 << 20
 
@@ -205,6 +208,7 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """Set size, 128-bit set key, minwise values and the second sketch of each document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             sets = [shingle_set(text.as_py(), words) for text in batch.column("text")]
@@ -236,6 +240,7 @@ def _nibbles(sketches: np.ndarray) -> np.ndarray:
 def _roots(reps: DataFrame) -> DataFrame:
     """The nodes of the first level: one in each tree for each of ``reps`` (doc, n, mins)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches):
             mins = _unbinary(batch.column("mins"), MINS, np.uint32)
@@ -265,6 +270,7 @@ def _children(gathered: DataFrame, level: int) -> DataFrame:
     for way, parent, c in WAYS[level]:
         by_parent.setdefault(parent, []).append((way, c))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, 128):
             of, node, above = _spread(batch)
@@ -287,6 +293,7 @@ def _children(gathered: DataFrame, level: int) -> DataFrame:
 def _compared(gathered: DataFrame) -> DataFrame:
     """A row (COMPARED) with both sketches for each node of each document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, 128):
             of, node, _ = _spread(batch)
@@ -347,6 +354,7 @@ def _resembling(batch: pa.RecordBatch, percent: int, label: np.ndarray | None) -
 def _first_pairs(leaves: DataFrame, percent: int) -> DataFrame:
     """Of each small node: (doc, first doc that it resembles), and the rows (a, b and node) of nodes with further pairs."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
             i, j = _resembling(batch, percent, None)
@@ -367,6 +375,7 @@ def _first_pairs(leaves: DataFrame, percent: int) -> DataFrame:
 def _involved(rows: DataFrame, percent: int) -> DataFrame:
     """The rows (node, doc, n, label) of ``rows`` (COMPARED) that resemble a row of their node with another label."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
             i, j = _resembling(batch, percent, batch.column("label").to_numpy())
@@ -380,11 +389,14 @@ def _node_links(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
     """Pairs of similar sets that join what is apart: a spanning forest over the labels of one node."""
     elements, where = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    both = np.zeros((len(sets), len(sets)))
-    for at in range(0, len(elements), 16384):
-        part = (where >= at) & (where < at + 16384)
-        held = np.zeros((len(sets), min(16384, len(elements) - at)), np.float32)
-        held[owner[part], where[part] - at] = 1
+    order = np.argsort(where, kind="stable")
+    where, owner = where[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)  # numbers of shingles, whole below 2^24
+    width = max(64, HELD_CELLS // len(sets))
+    for at in range(0, len(elements), width):
+        lo, hi = np.searchsorted(where, (at, at + width))
+        held = np.zeros((len(sets), min(width, len(elements) - at)), np.float32)
+        held[owner[lo:hi], where[lo:hi] - at] = 1
         both += held @ held.T
     alike = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (label[:, None] != label[None, :])
     root: dict[int, int] = {}
@@ -413,6 +425,7 @@ class _Texts:
         """(doc, shingles) for at least the classes in the one column of ``ids``: sorted hashes, or only their upper halves, as bytes."""
         words = self.words
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _sliced(batches, 128):
                 found = [shingle_set(text.as_py(), words) for text in batch.column("text")]
@@ -449,6 +462,7 @@ def _joining_pairs(rows: DataFrame, texts: _Texts, percent: int) -> DataFrame:
                 part = own.slice(at, 64)
                 yield _arrow({"node": nodes.flatten().slice(at, 64), **{c: batch.column(c).take(part) for c in ("doc", "n", "label", "shingles")}})
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_node(batches):
             node, doc, n, label = (batch.column(c).to_numpy() for c in ("node", "doc", "n", "label"))
@@ -496,6 +510,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: _Texts, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, 256):
             ok = []

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom.llm.memory import tidy
 from cueloom.sources.workspace import written
 
 CAPACITY = 2048
@@ -79,6 +80,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, vocabulary: str, ranks: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

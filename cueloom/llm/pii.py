@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueloom.llm.memory import tidy
 from cueloom.llm.pii_model import KINDS, decode, symbols, train
 from cueloom.llm.sampling import first_texts
 
@@ -238,6 +239,7 @@ def find(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, counts of base spans, base_sha256, spans and n_added for each row of ``docs``."""
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _text_columns(batch)
@@ -266,6 +268,7 @@ def redact(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``n_chars``, where there is one, counts the new text."""
     columns = docs.columns
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _text_columns(batch)
