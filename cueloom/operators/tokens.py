@@ -6,6 +6,7 @@ TOKEN rows: script_id, ord, text, start, end, start_char, end_char, confidence.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,16 +174,22 @@ def _anomalies(s: DataFrame) -> DataFrame:
     return found.select("script_id", "place", start.alias("start_char"), "end_char", "reason", F.when(F.col("reason") == "cps_spike", "medium").otherwise("high").alias("severity"))
 
 
+def _run_rules() -> dict[str, tuple[Column, int]]:
+    """The test of each kind of run, and how many visible characters it must have."""
+    return {
+        "low_confidence_run": (F.col("confidence") < LOW_CONFIDENCE, 18),
+        "zero_duration_run": (F.greatest(F.lit(0.0), F.col("end") - F.col("start")) <= ZERO_SECONDS, 20),
+    }
+
+
 def runs(tokens: DataFrame, scripts: DataFrame, kind: str) -> DataFrame:
     """Runs of "low_confidence_run" or "zero_duration_run" tokens that are long enough; the first token of a script is in none."""
     return _runs(_advancing(tokens, scripts), kind)
 
 
 def _runs(s: DataFrame, kind: str) -> DataFrame:
-    test, least = {
-        "low_confidence_run": (F.coalesce(F.col("confidence") < LOW_CONFIDENCE, F.lit(False)), 18),
-        "zero_duration_run": (F.greatest(F.lit(0.0), F.col("end") - F.col("start")) <= ZERO_SECONDS, 20),
-    }[kind]
+    test, least = _run_rules()[kind]
+    test = F.coalesce(test, F.lit(False))
     w = Window.partitionBy("script_id").orderBy("place")
     islands = s.withColumn("hit", test).withColumn("island", F.sum((~F.col("hit")).cast("int")).over(w)).where("hit")
     size = (F.max("vis_end") - F.min("vis_start")).alias("size")
@@ -203,12 +210,34 @@ def end_collapse(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
 
 
 def raw_suspects(tokens: DataFrame, scripts: DataFrame) -> DataFrame:
-    """All raw suspect spans; nothing that begins after an end collapse. Every rule reads the same steps, sorted once by script."""
+    """All raw suspect spans; nothing that begins after an end collapse. Every rule reads the same steps in one pass.
+
+    A step gives an entry for each rule that it breaks; those of a run share the number of steps outside it so far, by which they
+    are put together, and single ones have their place.
+    """
     w = Window.partitionBy("script_id").orderBy("place")
-    so_far = F.min(F.when(_collapses(), F.col("place"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    seen = _advancing(tokens, scripts).withColumn("stop", so_far).where("stop IS NULL OR place <= stop")
-    collapse = seen.where("place = stop").select("script_id", "place", "start_char", F.col("text_length").alias("end_char"), F.lit("end_collapse").alias("reason"), F.lit("high").alias("severity"))
-    return _anomalies(seen).unionByName(_runs(seen, "low_confidence_run")).unionByName(_runs(seen, "zero_duration_run")).unionByName(collapse)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    seen = _advancing(tokens, scripts).withColumn("stop", F.min(F.when(_collapses(), F.col("place"))).over(so_far)).where("stop IS NULL OR place <= stop")
+    tests = {kind: F.coalesce(test, F.lit(False)) for kind, (test, _) in _run_rules().items()}
+    named = seen.withColumns({kind: test for kind, test in tests.items()})
+    numbered = named.withColumns({f"{kind}_number": F.sum((~F.col(kind)).cast("int")).over(w) for kind in tests})
+
+    def entry(reason: Column, key: Column, start: Column, end: Column, severity: Column) -> Column:
+        return F.struct(reason.alias("reason"), key.cast("long").alias("key"), start.cast("int").alias("start_char"), end.cast("int").alias("end_char"), severity.alias("severity"))
+
+    step = F.when(F.col("reversal"), "time_reversal").when(F.col("jump"), "timestamp_jump").when(F.col("spike"), "cps_spike")
+    begins = F.when(F.col("reversal"), F.greatest(F.lit(0), F.col("prev_end_char") - 1)).otherwise(F.col("prev_end_char"))
+    found = [
+        F.when(step.isNotNull(), entry(step, F.col("place"), begins, F.col("end_char"), F.when(F.col("reversal") | F.col("jump"), "high").otherwise("medium"))),
+        F.when(F.col("place") == F.col("stop"), entry(F.lit("end_collapse"), F.col("place"), F.col("start_char"), F.col("text_length"), F.lit("high"))),
+        *[F.when(F.col(kind), entry(F.lit(kind), F.col(f"{kind}_number"), F.col("start_char"), F.col("end_char"), F.lit("medium"))) for kind in tests],
+    ]
+    entries = numbered.select("script_id", "place", "vis_start", "vis_end", F.explode(F.array_compact(F.array(*found))).alias("e")).select("script_id", "place", "vis_start", "vis_end", "e.*")
+    spans = entries.groupBy("script_id", "reason", "key").agg(
+        F.min("place").alias("place"), F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.max("severity").alias("severity"), (F.max("vis_end") - F.min("vis_start")).alias("size")
+    )
+    least = reduce(lambda done, kind: done.when(F.col("reason") == kind, _run_rules()[kind][1]), tests, F).otherwise(-(1 << 30))
+    return spans.where(F.col("size") >= least).select("script_id", "place", "start_char", "end_char", "reason", "severity")
 
 
 def suspects(tokens: DataFrame, scripts: DataFrame) -> DataFrame:

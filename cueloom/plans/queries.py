@@ -26,6 +26,7 @@ from cueloom.operators import tokens as tok
 from cueloom.plans.job import split_table
 from cueloom.sources import corpora, sinks
 from cueloom.sources.tables import table
+from cueloom.sources.workspace import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -447,7 +448,7 @@ _RANGES = "ranges AS (SELECT script_id, audio_duration, start_char // 100 AS ran
     SELECT r.script_id, r.range_id, greatest(0.0::DOUBLE, coalesce(f, 0)) AS audio_start, least(r.audio_duration, e) AS audio_end FROM ranges r JOIN cover USING (script_id, range_id)""")
 def audio_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audio window of each range that tokens overlap."""
-    ranges, tokens = _points(spark, sf_dir), _tokens(spark, sf_dir)
+    ranges, tokens = written(_points(spark, sf_dir), "ranges"), written(_tokens(spark, sf_dir), "tokens")  # read three times each
     covered = iv.overlapping(ranges, tokens).select("script_id", "range_id").distinct()
     return iv.audio_window(ranges, tokens).join(covered, ["script_id", "range_id"], "left_semi").select("script_id", "range_id", "audio_start", "audio_end")
 
@@ -827,7 +828,7 @@ def drifting_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cueloom.plans.job import align_scripts, reports
 
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("script_id"), F.col("lang").alias("language"), F.lit("standard").alias("profile"), F.col("text").alias("script_text"))
-    done = align_scripts(docs, SteadyAligner(step=0.06, drift=9.0, drift_from=0.5), with_tokens=False)
+    done = written(align_scripts(docs, SteadyAligner(step=0.06, drift=9.0, drift_from=0.5), with_tokens=False), "drifting")
     report = reports(done, profiles(spark))
     return report.select("script_id", "quality_score", "timeline_status", F.get_json_object("timeline", "$.max_anchor_gap_seconds").cast("double").alias("max_anchor_gap_seconds"), F.size("warnings").alias("warnings"))
 
