@@ -21,7 +21,7 @@ class Clean:
 
     display: str
     align: str
-    origin: np.ndarray
+    origin: list[int]
 
 
 class Aligner(Protocol):
@@ -55,7 +55,7 @@ def clean(text: str | None, keep_punctuation: bool = True) -> Clean | None:
     if len(gap) and gap[-1]:
         at, gap = at[:-1], gap[:-1]
     align = np.where(gap, ord(" "), points[at]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return Clean(shown, align, at) if align else None
+    return Clean(shown, align, at.tolist()) if align else None
 
 
 def normalized(text: str) -> str:
