@@ -66,7 +66,7 @@ SIGMAS = 5.0
 #: Cells of the table of sets and shingles that is held at a time: 8 MB.
 HELD_CELLS = 1 << 21
 SEED = 20_240_229
-HASH_BLOCK = 1 << 20
+HASH_BLOCK = 1 << 16
 
 _rng = np.random.default_rng(SEED)
 _U64 = np.uint64
@@ -415,12 +415,20 @@ def _node_links(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, percen
     return out
 
 
+def upper_halves(shingles: np.ndarray) -> bytes:
+    return (shingles >> _U64(32)).astype(np.uint32).tobytes()
+
+
 class _Texts:
     """Where the full sets of classes come from: the documents themselves, filtered before they are hashed again."""
 
     def __init__(self, docs: DataFrame, words: int, repeated: DataFrame | None):
         self.docs, self.words, self.repeated = docs, words, repeated
 
+    def near(self, ids: DataFrame) -> DataFrame:
+        """(doc, text) of at least the documents in the one column of ``ids``."""
+        return maybe_among(self.docs, "doc", ids.distinct()).select("doc", "text")
+
     def sets(self, ids: DataFrame, halves: bool) -> DataFrame:
         """(doc, shingles) for at least the classes in the one column of ``ids``: sorted hashes, or only their upper halves, as bytes."""
         words = self.words
@@ -430,7 +438,7 @@ class _Texts:
             for batch in _sliced(batches, 128):
                 found = [shingle_set(text.as_py(), words) for text in batch.column("text")]
                 keys = [set_key(s) for s in found]
-                data = [(s >> _U64(32)).astype(np.uint32).tobytes() if halves else s.tobytes() for s in found]
+                data = [upper_halves(s) if halves else s.tobytes() for s in found]
                 yield _arrow({"doc": batch.column("doc"), "key_a": pa.array([k[0] for k in keys], pa.int64()), "key_b": pa.array([k[1] for k in keys], pa.int64()), "shingles": pa.array(data, pa.binary())})
 
         if self.repeated is not None:  # ids of repeated doc_ids are not doc_ids
@@ -454,13 +462,17 @@ def _joining_pairs(rows: DataFrame, texts: _Texts, percent: int) -> DataFrame:
     confirmed on full sets afterwards.
     """
 
+    words = texts.words
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sliced(batches, 16):
-            nodes = batch.column("nodes")
+            nodes, held = batch.column("nodes"), batch.column("held")
+            if pa.types.is_string(held.type):
+                held = pa.array([upper_halves(shingle_set(text.as_py(), words)) for text in held], pa.binary())
             own = pa.array(np.repeat(np.arange(len(batch)), np.diff(nodes.offsets.to_numpy())))
             for at in range(0, len(own), 64):
                 part = own.slice(at, 64)
-                yield _arrow({"node": nodes.flatten().slice(at, 64), **{c: batch.column(c).take(part) for c in ("doc", "n", "label", "shingles")}})
+                yield _arrow({"node": nodes.flatten().slice(at, 64), **{c: batch.column(c).take(part) for c in ("doc", "n", "label")}, "shingles": held.take(part)})
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,8 +487,9 @@ def _joining_pairs(rows: DataFrame, texts: _Texts, percent: int) -> DataFrame:
 
     rows = written(rows, "involved")
     by_doc = rows.groupBy("doc").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list("node").alias("nodes"))
-    joined = by_doc.join(texts.sets(rows.select("doc"), True), "doc").select("doc", "n", "label", "shingles", "nodes")
-    at_nodes = joined.mapInArrow(spread, "node long, doc long, n long, label long, shingles binary")
+    # Sets are made in the task that spreads them, so that no task needs two Python workers; classes of repeated ids have no text to join.
+    held = by_doc.join(texts.sets(rows.select("doc"), True) if texts.repeated is not None else texts.near(rows.select("doc")), "doc")
+    at_nodes = held.select("doc", "n", "label", held[held.columns[-1]].alias("held"), "nodes").mapInArrow(spread, "node long, doc long, n long, label long, shingles binary")
     return at_nodes.repartition("node").sortWithinPartitions("node", "doc").mapInArrow(run, "a long, b long")
 
 
