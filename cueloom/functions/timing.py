@@ -26,6 +26,15 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), place)).otherwise(F.lit(0.0))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A number rounded as in the oracle's SQL: scaled, taken to the nearest whole number (halves away from 0), scaled back.
+
+    ``F.round`` looks at the decimal digits of the unscaled number instead, which decides otherwise next to a half.
+    """
+    scale = F.lit(float(10**places))
+    return F.round(value * scale, 0) / scale
+
+
 def as_float(value: Column) -> Column:
     """A number, or 0 where it can't be read."""
     return F.coalesce(value.try_cast("double"), F.lit(0.0))

@@ -111,9 +111,10 @@ def audio_window(ranges: DataFrame, tokens: DataFrame, duration: str = "audio_du
 
 
 def drift_samples(local: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Signed and absolute drift of each local token's middle against the global timeline."""
+    """Signed and absolute drift of each local token's middle (``local_time``, if it has such a column) against the global timeline."""
     middle = F.greatest(F.col("start_char"), F.least(F.col("end_char") - 1, F.floor((F.col("start_char") + F.col("end_char") - 1) / 2)))
-    points = local.where("start_char IS NOT NULL AND end_char IS NOT NULL").withColumn("char_pos", middle).withColumn("local_time", (F.col("start") + F.col("end")) / 2)
+    half = F.col("local_time") if "local_time" in local.columns else (F.col("start") + F.col("end")) / 2
+    points = local.where("start_char IS NOT NULL AND end_char IS NOT NULL").withColumn("char_pos", middle).withColumn("local_time", half)
     timed = time_at_char(points.withColumnRenamed("ord", "point_id"), tokens).where("time_at IS NOT NULL")
     signed = F.col("local_time") - F.col("time_at")
     return timed.withColumnRenamed("point_id", "ord").withColumn("signed_drift", signed).withColumn("abs_drift", F.abs(signed))

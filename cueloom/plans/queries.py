@@ -19,7 +19,7 @@ from cueloom.functions.text import (
     strip_trailing_punctuation,
     visible_len,
 )
-from cueloom.functions.timing import nearest_rank, srt_timestamp, vtt_timestamp
+from cueloom.functions.timing import nearest_rank, rounded, srt_timestamp, vtt_timestamp
 from cueloom.operators import cues as cue_ops
 from cueloom.operators import intervals as iv
 from cueloom.operators import tokens as tok
@@ -482,20 +482,20 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of every word's second timing, late by a rule, against the timeline."""
     tokens = _tokens(spark, sf_dir)
     late = (F.bround(F.col("start") * 1000, 0) + 400 * F.pmod(F.floor(F.col("ord") / 50), F.lit(5))) / 1000.0
-    local = tokens.withColumn("start", late).withColumn("end", F.col("start") + 0.2).withColumn("checkpoint", F.floor(F.col("ord") / 50))
-    return iv.drift_samples(local.select("script_id", "ord", "start", "end", "start_char", "end_char", "checkpoint"), tokens)
+    local = tokens.withColumn("start", late).withColumn("local_time", F.col("start") + 0.1).withColumn("checkpoint", F.floor(F.col("ord") / 50))
+    return iv.drift_samples(local.select("script_id", "ord", "start_char", "end_char", "local_time", "checkpoint"), tokens)
 
 
 @query(f"""WITH {TOKENS} {_SAMPLES} last AS (SELECT 1) SELECT script_id, ord, round(signed_drift, 6) AS signed_drift FROM samples""")
 def drift_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).select("script_id", "ord", F.round("signed_drift", 6).alias("signed_drift"))
+    return _samples(spark, sf_dir).select("script_id", "ord", rounded(F.col("signed_drift"), 6).alias("signed_drift"))
 
 
 @query(f"""WITH {TOKENS} {_SAMPLES} s AS (SELECT script_id, checkpoint, count(*) AS sample_count, round(median(abs(signed_drift)), 9) AS median_drift, round(list_sort(list(abs(signed_drift)))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1], 9) AS p95_drift, round(max(abs(signed_drift)), 9) AS max_drift FROM samples GROUP BY ALL HAVING count(*) >= 4)
     SELECT *, CASE WHEN median_drift >= 1 OR p95_drift >= 1.5 AND median_drift >= 0.35 THEN 'high' WHEN median_drift >= 0.75 OR p95_drift >= 1.25 AND median_drift >= 0.25 THEN 'medium' ELSE 'ok' END AS severity FROM s""")
 def checkpoint_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = tok.checkpoint_stats(_samples(spark, sf_dir))
-    return stats.select("script_id", "checkpoint", "sample_count", *[F.round(c, 9).alias(c) for c in ("median_drift", "p95_drift", "max_drift")], "severity")
+    return stats.select("script_id", "checkpoint", "sample_count", *[rounded(F.col(c), 9).alias(c) for c in ("median_drift", "p95_drift", "max_drift")], "severity")
 
 
 @query(f"""WITH {TOKENS} {_SAMPLES} h AS (SELECT *, abs(signed_drift) >= 0.65::DOUBLE AS hit, CASE WHEN signed_drift >= 0 THEN 1 ELSE -1 END AS sign FROM samples),
@@ -529,8 +529,8 @@ def strongest_drift_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _tokens(spark, sf_dir)
     late = tokens.withColumn("start", F.col("start") + 0.9 * F.pmod(F.floor(F.col("ord") / 40), F.lit(3))).withColumn("end", F.col("start") + 0.2)
     found = tok.drift_runs(iv.drift_samples(late.select("script_id", "ord", "start", "end", "start_char", "end_char"), tokens), corpora.english_scripts(spark, sf_dir))
-    rounded = ("median_drift", "p75_drift", "max_drift", "signed_median_drift", "score")
-    return found.select("script_id", "start_char", "end_char", "sample_count", "visible_chars", *[F.round(c, 6).alias(c) for c in rounded])
+    measures = ("median_drift", "p75_drift", "max_drift", "signed_median_drift", "score")
+    return found.select("script_id", "start_char", "end_char", "sample_count", "visible_chars", *[rounded(F.col(c), 6).alias(c) for c in measures])
 
 
 # --- Cues ------------------------------------------------------------------------------------------------------
