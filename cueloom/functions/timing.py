@@ -26,6 +26,17 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), place)).otherwise(F.lit(0.0))
 
 
+def ranked(ordered: str, share: float) -> Column:
+    """``nearest_rank`` of a column of sorted arrays that are not empty."""
+    return F.element_at(ordered, F.bround((F.size(ordered) - 1) * F.lit(share), 0).cast("int") + 1)
+
+
+def middle(ordered: str) -> Column:
+    """The median of a column of sorted arrays that are not empty."""
+    low, high = (F.element_at(ordered, F.floor((F.size(ordered) + odd) / 2).cast("int")) for odd in (1, 2))
+    return low + (high - low) * 0.5
+
+
 def rounded(value: Column, places: int) -> Column:
     """A number rounded as in the oracle's SQL: scaled, taken to the nearest whole number (halves away from 0), scaled back.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cueloom.functions import charsets as C
 from cueloom.functions.arrays import blank, codes, visible_before
 from cueloom.functions.text import next_sentence_boundary, previous_sentence_boundary, visible_len
-from cueloom.functions.timing import nearest_rank
+from cueloom.functions.timing import middle, nearest_rank, ranked
 from cueloom.operators.intervals import highest, merge, union_of
 
 LOW_CONFIDENCE, ZERO_SECONDS = 0.12, 0.02
@@ -328,14 +328,22 @@ def checkpoint_severity(median: Column, p95: Column) -> Column:
 
 
 def checkpoint_stats(samples: DataFrame, by: str = "checkpoint") -> DataFrame:
-    """Drift statistics of each checkpoint with at least 4 samples, and its severity."""
+    """Drift statistics of each checkpoint with at least 4 samples, and its severity.
+
+    All of them come from one sorted list of the samples; the list of signed ones is only made where its median is asked for.
+    """
     stats = samples.groupBy("script_id", by).agg(
         F.count("*").alias("sample_count"),
-        F.median("abs_drift").alias("median_drift"),
-        nearest_rank(F.collect_list("abs_drift"), 0.95).alias("p95_drift"),
-        F.max("abs_drift").alias("max_drift"),
-        F.median("signed_drift").alias("signed_median_drift"),
+        F.sort_array(F.collect_list("abs_drift")).alias("_sizes"),
+        F.sort_array(F.collect_list("signed_drift")).alias("_signed"),
     )
+    stats = stats.select(
+        "script_id", by, "sample_count",
+        middle("_sizes").alias("median_drift"),
+        ranked("_sizes", 0.95).alias("p95_drift"),
+        F.element_at("_sizes", -1).alias("max_drift"),
+        middle("_signed").alias("signed_median_drift"),
+    )
     kept = stats.where("sample_count >= 4")
     return kept.withColumn("severity", checkpoint_severity(F.col("median_drift"), F.col("p95_drift"))).withColumn("direction", F.when(F.col("signed_median_drift") >= 0, 1).otherwise(-1))
 

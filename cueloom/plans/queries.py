@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +24,12 @@ from cueloom.functions.timing import nearest_rank, rounded, srt_timestamp, vtt_t
 from cueloom.operators import cues as cue_ops
 from cueloom.operators import intervals as iv
 from cueloom.operators import tokens as tok
+from cueloom.plans import drift
 from cueloom.plans.job import split_table
+from cueloom.plans.timeline import Timeline
 from cueloom.sources import corpora, sinks
 from cueloom.sources.tables import table
-from cueloom.sources.workspace import written
+from cueloom.sources.workspace import bounded_batches, written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -480,10 +483,12 @@ _SAMPLES = """samples AS (SELECT script_id, ord, ord // 50 AS checkpoint, start_
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of every word's second timing, late by a rule, against the timeline."""
-    tokens = _tokens(spark, sf_dir)
-    late = (F.bround(F.col("start") * 1000, 0) + 400 * F.pmod(F.floor(F.col("ord") / 50), F.lit(5))) / 1000.0
-    local = tokens.withColumn("start", late).withColumn("local_time", F.col("start") + 0.1).withColumn("checkpoint", F.floor(F.col("ord") / 50))
-    return iv.drift_samples(local.select("script_id", "ord", "start_char", "end_char", "local_time", "checkpoint"), tokens)
+    bounded_batches(spark)
+    return drift.samples(corpora.english_scripts(spark, sf_dir), _late_middle)
+
+
+def _late_middle(line: Timeline) -> np.ndarray:
+    return (np.rint(line.start * 1000) + 400 * (np.arange(len(line)) // 50 % 5)) / 1000.0 + 0.1
 
 
 @query(f"""WITH {TOKENS} {_SAMPLES} last AS (SELECT 1) SELECT script_id, ord, round(signed_drift, 6) AS signed_drift FROM samples""")
