@@ -28,13 +28,13 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, le
     return [*choice, _grow(x[left], y[left], rng, depth - 1, least, tries), _grow(x[~left], y[~left], rng, depth - 1, least, tries)]
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 32, depth: int = 8, least: int = 3, seed: int = 5) -> list:
-    """Trees, each grown on a bootstrap sample with a random choice of features at each node."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 32, depth: int = 8, least: int = 3, seed: int = 5, weights: np.ndarray | None = None) -> list:
+    """Trees, each grown on a bootstrap sample with a random choice of features at each node; a row with a weight stands for so many."""
     rng = np.random.default_rng(seed)
     tries = max(1, round(x.shape[1] ** 0.5))
     forest = []
     for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
+        pick = rng.integers(0, len(y), len(y)) if weights is None else rng.choice(len(y), round(weights.sum()), p=weights / weights.sum())
         forest.append(_grow(x[pick], y[pick].astype(np.float64), rng, depth, least, tries))
     return forest
 
